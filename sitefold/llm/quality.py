@@ -18,8 +18,8 @@ from sitefold.llm.common import durable, let, small
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Soft rules: share of symbols among word characters, share of repeated lines.
-MAX_SYMBOL_SHARE, MAX_DUP_LINE_SHARE = 0.10, 0.30
+#: Soft rules: share of symbols among word characters; number and share of repeated lines.
+MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE = 0.10, 3, 0.30
 #: A host breaks a rule habitually from this shrunk rate on.
 HOST_RATE = 0.01
 #: Host tables of up to so many rows are broadcast; larger ones are shuffled.
@@ -111,7 +111,7 @@ def with_failures(m: DataFrame) -> DataFrame:
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "bad_symbols": (F.col("n_symbols") > MAX_SYMBOL_SHARE * F.col("word_chars")).cast("int"),
-            "bad_lines": (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines")).cast("int"),
+            "bad_lines": ((F.col("n_dup_lines") >= MIN_DUP_LINES) & (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines"))).cast("int"),
         }
     )
 

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from sitefold.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitefold.llm.decontam import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitefold.llm.pii import find_personal_data, listed
+
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitefold.llm.sharding import shard
 
@@ -22,5 +41,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op5_pii": op5_pii,
+    "op7_sharding": op7_sharding,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES: dict[str, str] = {}
