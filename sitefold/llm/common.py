@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +35,17 @@ def let(value: Column, body) -> Column:
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within ``limit``; otherwise Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Lets the executors' Python import this package: sends it once per application through Spark."""
+    context = spark.sparkContext
+    if getattr(context, "_sitefold_sent", None) != context.applicationId:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="sitefold-")) / "sitefold_code.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for name in sorted(top.rglob("*.py")):
+                out.write(name, str(name.relative_to(top.parent)))
+        context.addPyFile(str(path))
+        context._sitefold_sent = context.applicationId
+    return spark

@@ -27,6 +27,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitefold.llm.neardup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitefold.llm.sharding import shard
 
@@ -44,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_pii": op5_pii,
+    "op6_minhash_neardup": op6_minhash_neardup,
     "op7_sharding": op7_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
