@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitefold.llm.common import durable, shipped
 
@@ -152,28 +153,32 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row."""
+    """``row`` (the input's row as a struct), doc_id, lang_pred, score and ambiguous of every row."""
     shipped(docs.sparkSession)
     model = fit(docs, id_col, text_col, lang_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     if model is None:
-        return base.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        return base.select("row", "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             best, score = known.decode(margins(texts, known.weights)) if texts else ([], [])
             worded = [bool(LETTER.search(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([known.langs[k] if w else "und" for k, w in zip(best, worded, strict=True)], pa.string()),
                     pa.array([float(s) if w else 0.0 for s, w in zip(score, worded, strict=True)], pa.float64()),
                     pa.array([not w or float(s) < AMBIGUOUS for s, w in zip(score, worded, strict=True)], pa.bool_()),
                 ],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
+                ["row", "doc_id", "lang_pred", "score", "ambiguous"],
             )
 
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType(
+        [base.schema["row"], base.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    )
+    return base.mapInArrow(run, schema)

@@ -2,9 +2,9 @@
 
 Texts with equal sets of shingles are one node.  A node's signature has 120 coordinates; its
 postings are the values of 40 bands of 3 coordinates each, a value being skipped unless other
-nodes share it.  Collisions are counted per pair and pairs that share MATCHES bands or more are
-confirmed on their full sets.  At a similarity of 0.85 a pair agrees in Binomial(40, 0.614) bands, so
-fewer than 9 happens less than once in ten million.
+nodes share it.  Collisions are counted per pair, and pairs that share enough bands are confirmed
+on their full sets.  Enough is the largest number that a pair at the threshold falls short of less
+than once in a million (at 0.85 it agrees in Binomial(40, 0.614) bands).
 
 Buckets are not expanded into all pairs: first each member is held against its bucket's hub only;
 then, after components, only members of different components that still share a bucket are.
@@ -16,6 +16,7 @@ table gives an empty result; texts of any length are read whole; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,21 @@ from sitefold.llm import shingles as S
 from sitefold.llm.common import durable, shipped, small
 from sitefold.llm.components import components
 
-#: Bands that two sets must share to be held against each other.
-MATCHES = 9
+#: How often a pair at the threshold may share too few bands to be held against each other.
+MISSED = 1e-6
 #: Lists of nodes are broadcast up to so many rows of 16 bytes.
 BROADCAST_NODES = 500_000
 
 
+def matches_for(percent: int) -> int:
+    """Bands that a pair must share: with similarity s it shares Binomial(BANDS, s ** ROWS) of them."""
+    p = (percent / 100) ** S.ROWS
+    below, k = 0.0, 0
+    while below + (more := math.comb(S.BANDS, k) * p**k * (1 - p) ** (S.BANDS - k)) <= MISSED:
+        below, k = below + more, k + 1
+    return max(k, 1)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, nodes, keys = [], [], []
@@ -71,6 +81,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     shipped(docs.sparkSession)
+    enough = matches_for(percent)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = dict(base.dtypes)["doc_id"]
     signed = durable(base.mapInArrow(_signatures, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>"))
@@ -78,7 +89,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     postings = nodes.select("node", F.explode("bands").alias("band"))
     shared = postings.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     met = durable(postings.join(shared.select("band", "hub"), "band"))
-    live = met.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= MATCHES).select("node")
+    live = met.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("node")
     held = durable(met.join(live, "node"))
 
     names = durable(held.select("node").distinct().join(signed.select("node", "doc_id"), "node").groupBy("node").agg(F.min("doc_id").alias("id")))
@@ -96,7 +107,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rest = durable(named.join(open_, "band", "left_semi"))
     a = rest.select("band", F.col("node").alias("u"), F.col("label").alias("lu"))
     b = rest.select("band", F.col("node").alias("v"), F.col("label").alias("lv"))
-    met_again = a.join(b, "band").filter("lu <> lv and u < v").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= MATCHES)
+    met_again = a.join(b, "band").filter("lu <> lv and u < v").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
     more = durable(_confirmed(met_again, full, percent))
     if more.limit(1).count():
         labels = components(links.union(more))

@@ -18,6 +18,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitefold.llm.templates import drop_templates
+
+    return drop_templates(table(spark, sf_dir, "documents")).select("row.doc_id", "row.text", "n_lines", "n_dropped")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sitefold.llm.tokens import pack, scan
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    blocks = pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, separator=50256)
+    return scan(blocks, separator=50256).select("doc_id", "n_tokens")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitefold.llm.spans import remove_repeats
 
@@ -84,6 +100,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,
     "op6_minhash_neardup": op6_minhash_neardup,
