@@ -2,12 +2,15 @@
 
 Texts with equal sets of shingles are one node.  A node's signature has 120 coordinates; its
 postings are the values of 40 bands of 3 coordinates each, a value being skipped unless other
-nodes share it.  Collisions are counted per pair, and pairs that share enough bands are confirmed
-on their full sets.  Enough is the largest number that a pair at the threshold falls short of less
-than once in a million (at 0.85 it agrees in Binomial(40, 0.614) bands).
+nodes share it.  Nodes that share too few bands with all others together are skipped (a pair at
+the threshold falls short of that number less than once in a million).
 
-Buckets are not expanded into all pairs: first each member is held against its bucket's hub only;
-then, after components, only members of different components that still share a bucket are.
+Postings are not expanded into all pairs.  First each member of a bucket is held against the bucket's
+hub only, on the full sets.  After components, the members of buckets that still hold several
+components are merged in tiles of bounded size: a tile's shingles are posted, each member counts its
+collisions with the others by merging the postings of its own shingles (postings of one member are
+skipped), and of the pairs that reach the threshold only those that connect two components leave the
+tile.  Enough bands are merged so that a pair at the threshold shares none less than once in a million.
 
 Defined cases: null, empty and word-less texts have no shingles and stand alone; repeated rows
 are copies; null ids are allowed, the smallest id that is not null names a component; an empty
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ from sitefold.llm.components import components
 
 #: How often a pair at the threshold may share too few bands to be held against each other.
 MISSED = 1e-6
+#: Members and shingles of a bucket's tile; larger buckets are dealt over pairs of tiles.
+TILE_NODES, TILE_SHINGLES = 2048, 1_000_000
 #: Lists of nodes are broadcast up to so many rows of 16 bytes.
 BROADCAST_NODES = 500_000
 
@@ -42,6 +48,12 @@ def matches_for(percent: int) -> int:
     return max(k, 1)
 
 
+def bands_for(percent: int) -> int:
+    """Bands of which a pair shares at least one."""
+    p = (percent / 100) ** S.ROWS
+    return min(S.BANDS, math.ceil(math.log(MISSED) / math.log(1 - p))) if p < 1 else 1
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, nodes, keys = [], [], []
@@ -78,6 +90,84 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("same") >= percent * (F.col("total") - F.col("same"))).select("u", "v")
 
 
+def tile_links(items: list[np.ndarray], labels: list[int], sides: list[int], both: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs of members that reach the threshold and connect two components (a spanning choice).
+
+    In a tile of two sides only members of different sides are compared.
+    """
+    sizes = np.array([len(x) for x in items])
+    flat = np.concatenate(items)
+    owner = np.repeat(np.arange(len(items)), sizes)
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.concatenate((starts, [len(flat)])))
+    run = np.empty(len(flat), np.int64)
+    run[order] = np.cumsum(new) - 1
+    members = owner[order]
+    side = np.array(sides)
+    parent = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    for x in range(len(items)):
+        mine = run[bounds[x] : bounds[x + 1]]
+        mine = mine[counts[mine] > 1]
+        if not len(mine):
+            continue
+        lens = counts[mine]
+        at = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(int(lens.sum()))
+        same = np.bincount(members[at], minlength=len(items))
+        near = 100 * same >= percent * (sizes[x] + sizes - same)
+        near[: x + 1] = False
+        if both:
+            near &= side != side[x]
+        for y in np.flatnonzero(near).tolist():
+            a, b = root(labels[x]), root(labels[y])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((x, y))
+    return out
+
+
+def _merged(percent: int):  # noqa: ANN202
+    """Tiles from rows sorted by (band, i, j) -> links."""
+
+    def tile(rows: list[tuple]) -> list[tuple[int, int]]:
+        labels = [r[4] for r in rows]
+        if len(set(labels)) < 2:
+            return []
+        i, j = rows[0][1], rows[0][2]
+        found = tile_links([np.asarray(r[6], np.int64) for r in rows], labels, [r[5] for r in rows], i != j, percent)
+        return [(rows[x][3], rows[y][3]) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            slim = [batch.column(k).to_pylist() for k in range(6)]
+            sets = batch.column(6)
+            for k in range(batch.num_rows):
+                row = (*[c[k] for c in slim], sets[k].values.to_numpy(zero_copy_only=False))
+                if held and row[:3] != held[-1][:3]:
+                    links += tile(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+            links = []
+        links += tile(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     shipped(docs.sparkSession)
@@ -86,29 +176,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     kind = dict(base.dtypes)["doc_id"]
     signed = durable(base.mapInArrow(_signatures, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>"))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    postings = nodes.select("node", F.explode("bands").alias("band"))
+    postings = nodes.select("node", F.posexplode("bands").alias("b", "band"))
     shared = postings.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     met = durable(postings.join(shared.select("band", "hub"), "band"))
     live = met.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("node")
     held = durable(met.join(live, "node"))
 
     names = durable(held.select("node").distinct().join(signed.select("node", "doc_id"), "node").groupBy("node").agg(F.min("doc_id").alias("id")))
-    wanted = small(names.select("id"), names.count(), BROADCAST_NODES)
+    count = names.count()
+    wanted = small(names.select("id"), count, BROADCAST_NODES)
     picked = base.join(wanted, base["doc_id"].eqNullSafe(F.col("id")), "left_semi")
     full = picked.mapInArrow(_full_sets, "node bigint, items array<bigint>").filter("node is not null")
-    full = durable(full.join(small(names.select("node"), names.count(), BROADCAST_NODES), "node", "left_semi").dropDuplicates(["node"]))
+    full = durable(full.join(small(names.select("node"), count, BROADCAST_NODES), "node", "left_semi").dropDuplicates(["node"]))
 
     hubs = held.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     links = durable(_confirmed(hubs, full, percent))
     labels = components(links)
-    # what is left: buckets that still hold several components
-    named = held.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    rest = durable(named.join(open_, "band", "left_semi"))
-    a = rest.select("band", F.col("node").alias("u"), F.col("label").alias("lu"))
-    b = rest.select("band", F.col("node").alias("v"), F.col("label").alias("lv"))
-    met_again = a.join(b, "band").filter("lu <> lv and u < v").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
-    more = durable(_confirmed(met_again, full, percent))
+    # buckets that still hold several components, and the tiles that they take
+    named = held.filter(F.col("b") < bands_for(percent)).join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    sized = durable(named.join(full.select("node", F.size("items").alias("n")), "node"))
+    open_ = sized.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g"), F.sum("n").alias("s")).filter("lo < hi")
+    tiles = F.ceil(F.greatest(F.col("g") / TILE_NODES, F.col("s") / TILE_SHINGLES))
+    rest = sized.join(open_.select("band", tiles.alias("tiles")), "band").withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
+    dealt = rest.select("band", "node", "label", "side", F.explode(cells).alias("c")).select("band", "c.i", "c.j", "node", "label", "side")
+    dealt = dealt.join(full, "node").select("band", "i", "j", "node", "label", "side", "items")
+    more = durable(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_merged(percent), "u bigint, v bigint").distinct())
     if more.limit(1).count():
         labels = components(links.union(more))
     grouped = durable(signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")))
