@@ -98,6 +98,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     row = lambda h, j, n, ctx: F.struct(h.alias("h"), j.cast("int").alias("j"), F.lit(n).alias("n"), ctx.alias("ctx"))
 
+    def short_rows(w: Column, n: int) -> Column:
+        return F.transform(_upto(F.size(w) - (n - 1)), lambda j: row(_gram(w, j, n), j, n, F.slice(w, j + 1, n)))
+
     def rows(w: Column) -> Column:
         marker = row(F.lit(None).cast("bigint"), F.lit(-1), 0, F.lit(None).cast("array<string>"))
         parts = [F.array(marker)]
@@ -105,7 +108,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             if n == WINDOW:
                 parts.append(_winnowed(w, lambda j, h: row(h, j, WINDOW, _context(w, j))))
             else:
-                parts.append(F.transform(_upto(F.size(w) - (n - 1)), lambda j, n=n: row(_gram(w, j, n), j, n, F.slice(w, j + 1, n))))
+                parts.append(short_rows(w, n))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*parts).alias("rows"))
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
