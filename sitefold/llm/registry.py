@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.llm import oracles
 from sitefold.llm.common import table
+from sitefold.llm.quality import HOST_RATE, MAX_DUP_LINE_SHARE, MAX_SYMBOL_SHARE, MIN_DUP_LINES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +112,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op6_minhash_neardup": oracles.NEAR_DUPLICATES,
+    "op10_quality_rules": oracles.quality(MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE, HOST_RATE),
+}
