@@ -19,6 +19,40 @@ met AS (SELECT rid, count(*) AS k, string_agg(item, ',' ORDER BY item) AS s FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(c, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN met USING (rid)"""
 
+#: Template tree: leaves of 10 documents or more, templates that hold on half of the lines, lines alike on 0.7 of the tokens.
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+ln AS (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d),
+tk AS (SELECT doc_id, i, l[i + 1] AS x, CASE WHEN i > 0 THEN l[i] END AS prev, l[i + 2] AS nxt,
+  list_transform(regexp_split_to_array(trim(l[i + 1], ' '), '\s+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS k FROM ln),
+lf AS (SELECT *, len(k) AS n, k[1:3] AS lead FROM tk WHERE len(k) >= 3),
+hot AS (SELECT n, lead FROM lf GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+seen AS (SELECT lf.* FROM lf JOIN hot USING (n, lead)),
+place AS (SELECT n, lead, p, k[p] AS w, count(*) AS c FROM (SELECT n, lead, k, unnest(range(1, n + 1)) AS p FROM (SELECT DISTINCT n, lead, k FROM seen)) GROUP BY ALL),
+top AS (SELECT n, lead, p, w, c, sum(c) OVER (PARTITION BY n, lead, p) AS al FROM place QUALIFY row_number() OVER (PARTITION BY n, lead, p ORDER BY c DESC, w DESC) = 1),
+tpl AS (SELECT n, lead, list(CASE WHEN 2 * c >= al THEN w ELSE '<*>' END ORDER BY p) AS t FROM top GROUP BY ALL),
+nm AS (SELECT doc_id, i, prev, nxt, CASE WHEN len(list_filter(range(1, n + 1), lambda p: k[p] = t[p])) >= 0.7 * n THEN t ELSE k END AS g FROM seen JOIN tpl USING (n, lead)),
+grp AS (SELECT g, min(doc_id) AS first_doc FROM nm GROUP BY g
+  HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT {'a': prev, 'b': nxt}) >= 10 AND 2 * count(DISTINCT {'a': prev, 'b': nxt}) >= count(DISTINCT doc_id)),
+gone AS (SELECT doc_id, list(i) AS g FROM nm JOIN grp USING (g) WHERE doc_id <> first_doc GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone.g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: NOT list_contains(gone.g, i)), lambda i: l[i + 1]), chr(10)) END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_dropped
+FROM d LEFT JOIN gone USING (doc_id)"""
+
+#: Hexadecimal digits stand for the bytes: windows are strings of 800.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, CAST(len(x) // 2 AS BIGINT) - 399)) AS i FROM d WHERE len(x) >= 800)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS nw FROM r),
+g AS (SELECT doc_id, i, sum(nw) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s),
+sp AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY ALL),
+kp AS (SELECT doc_id, x, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nx FROM sp JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(x, 2 * z + 1, 2 * (a - z)) || CASE WHEN nx IS NULL THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM kp GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
 NEAR_DUPLICATES = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_BLANK}') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

@@ -114,6 +114,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontamination": oracles.DECONTAMINATION,
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_minhash_neardup": oracles.NEAR_DUPLICATES,
     "op10_quality_rules": oracles.quality(MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE, HOST_RATE),
 }
