@@ -60,15 +60,15 @@ def estimated_lengths(sites: DataFrame, grouping: str | None = None, replicates:
     total = pairs.groupBy("group").agg(F.count("*").alias("all"))
     now = durable(now.join(seen, ["group", "cell"]).join(total, "group").select("posid", "group", "cell", "theta", (F.col("k") / F.col("all")).alias("phi")))
     mean = F.col("theta") * F.col("phi")
-    for i in range(rounds):
+    for _ in range(rounds):
         x = now.select("posid", "group", "cell", (mean / (1 - F.exp(-mean))).alias("x"))
         by_site = x.groupBy("posid", "group").agg(F.sum("x").alias("theta"))
         by_cell = x.groupBy("group", "cell").agg(F.sum("x").alias("s"))
         by_group = by_cell.groupBy("group").agg(F.sum("s").alias("all"))
         phi = by_cell.join(by_group, "group").select("group", "cell", (F.col("s") / F.col("all")).alias("phi"))
         now = now.select("posid", "group", "cell").join(by_site, ["posid", "group"]).join(phi, ["group", "cell"])
-        if i % 3 == 2 or i == rounds - 1:
-            now = durable(now.select("posid", "group", "cell", "theta", "phi"))
+        # a round uses its predecessor several times, so each one is kept
+        now = durable(now.select("posid", "group", "cell", "theta", "phi"))
     return now.groupBy("posid", "group").agg(F.max("theta").alias("estAbund"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,32 @@ query(
 SELECT chr, pos, grp FROM x""",
 )(lambda s, d: scan.scan_format(P.sites(s, d).filter("sample = 'A'"), P.sites(s, d).filter("sample <> 'A'"), "replicate"))
 query("quick_format", f"WITH {S} SELECT DISTINCT seqnames AS chr, five AS pos FROM sites")(lambda s, d: scan.scan_points(P.sites(s, d)))
+
+
+def _scan_points(spark: SparkSession, d: str) -> DataFrame:
+    return P.load(spark, d, "events").select(
+        F.col("event_type").alias("chr"), F.col("event_id").alias("pos"), (F.col("user_id") % 100 < 30 + 30 * (F.floor(F.col("event_id") / 300) % 2)).cast("int").alias("grp")
+    )
+
+
+def _marks(k: int) -> str:
+    """Windows of k points with the chance of a count as small, and as large, from the terms of the binomial distribution."""
+    w = f"PARTITION BY chr ORDER BY pos, grp ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING"
+    binom = ", ".join(f"({i}, {math.comb(k, i)}.0)" for i in range(k + 1))
+    return f"""b{k} AS (SELECT i, CAST(c AS DOUBLE) * pow(share, i) * pow(1 - share, {k} - i) AS p FROM (VALUES {binom}) v(i, c), s),
+t{k} AS (SELECT i, sum(p) OVER (ORDER BY i) AS lo, sum(p) OVER (ORDER BY i DESC) AS hi FROM b{k}),
+m{k} AS (SELECT chr, pos AS start, max(pos) OVER ({w}) AS "end", sum(grp) OVER ({w}) AS n, count(*) OVER ({w}) AS k FROM pt),
+d{k} AS (SELECT chr, start, "end", CASE WHEN hi <= 0.005 THEN 1 WHEN lo <= 0.005 THEN -1 END AS direction FROM m{k} JOIN t{k} ON i = n WHERE k = {k} AND (hi <= 0.005 OR lo <= 0.005))"""
+
+
+query(
+    "scan_clusters",
+    f"""WITH pt AS (SELECT event_type AS chr, event_id AS pos, CAST(user_id % 100 < 30 + 30 * ((event_id // 300) % 2) AS INT) AS grp FROM events),
+s AS (SELECT avg(grp) AS share FROM pt), {_marks(10)}, {_marks(20)}, u AS (SELECT * FROM d10 UNION ALL SELECT * FROM d20),
+n AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chr, direction ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM u),
+c AS (SELECT *, sum(nw) OVER (PARTITION BY chr, direction ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS c FROM n)
+SELECT chr, min(start) AS start, max("end") AS "end", direction, count(*) AS windows FROM c GROUP BY chr, direction, c""",
+)(lambda s, d: scan.scan_clusters(_scan_points(s, d), (10, 20), 0.01))
 query(
     "unique_sum",
     f'WITH {S} SELECT seqnames, "start", "end", strand, sample, CAST(sum(counts) AS BIGINT) AS counts FROM sites GROUP BY seqnames, "start", "end", strand, sample',

@@ -13,7 +13,7 @@ from sitefold.operators.abundance import condense_intsites, determine_abundance
 from sitefold.operators.components import components
 from sitefold.operators.legacy import cluster_sites, cluster_values
 from sitefold.operators.multihits import cluster_multihits, normalize_multihit_clusters
-from sitefold.operators.scan import scan_format
+from sitefold.operators.scan import binomial_limits, scan_clusters, scan_format
 from sitefold.operators.track import track_clones
 from sitefold.operators.unique import unique_granges
 from sitefold.sources import fastq
@@ -220,3 +220,13 @@ def test_stream_abundance(spark, tmp_path):
     run = stream_abundance(stream).writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r.posid, r.estAbund) for r in spark.table("running").collect()} == {("c+1", 2), ("c+7", 1)}
+
+
+def test_scan_clusters(spark):
+    rng = random.Random(1)
+    rows = [("c", i * 10, int(rng.random() < (0.95 if 100 <= i < 140 else 0.3))) for i in range(400)]
+    points = spark.createDataFrame(rows, "chr string, pos long, grp int")
+    out = scan_clusters(points, (15, 25)).filter("direction = 1").collect()
+    assert len(out) == 1 and 800 <= out[0].start <= 1050 and 1350 <= out[0].end <= 1600
+    assert scan_clusters(points.limit(0)).count() == 0
+    assert binomial_limits(10, 0.5, 0.05) == (1, 9) and binomial_limits(3, 0.5, 0.05) == (-1, 4)
