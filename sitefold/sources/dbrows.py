@@ -44,3 +44,7 @@ def db_to_sites(rows: DataFrame, keep_additional_columns: bool = True, lower_cas
         used = {"chr", "position", "breakpoint", "strand", "sampleName"}
         meta |= {c: F.col(f"`{c}`") for c in df.columns if c not in used}
     return df.select(*[c.alias(n) for n, c in core.items()], *[c.alias(n.lower() if lower_case else n) for n, c in meta.items()])
+
+
+#: The name by which users of genomic ranges know it.
+db_to_granges = db_to_sites
