@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import shingles as S
 from sitefold.llm.common import durable, shipped, small
-from sitefold.llm.components import components
+from sitefold.operators.components import components
 
 #: How often a pair at the threshold may share too few bands to be held against each other.
 MISSED = 1e-6
 #: Members and shingles of a bucket's tile; larger buckets are dealt over pairs of tiles.
-TILE_NODES, TILE_SHINGLES = 2048, 1_000_000
+TILE_NODES, TILE_SHINGLES = 2048, 400_000
 #: Lists of nodes are broadcast up to so many rows of 16 bytes.
 BROADCAST_NODES = 500_000
 
