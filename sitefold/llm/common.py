@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,15 +39,26 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Largest Arrow batches that are sent to Python, in bytes and rows; workers hold a few of them at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Lets the executors' Python import this package: sends it once per application through Spark."""
+    """Lets the executors' Python import this package (sent once per application through Spark) and bounds the batches that they get."""
     context = spark.sparkContext
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     if getattr(context, "_sitefold_sent", None) != context.applicationId:
-        top = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="sitefold-")) / "sitefold_code.zip"
-        with zipfile.ZipFile(path, "w") as out:
+        top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as out:
             for name in sorted(top.rglob("*.py")):
                 out.write(name, str(name.relative_to(top.parent)))
-        context.addPyFile(str(path))
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sitefold_code.zip")
+        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+        stream.write(packed.getvalue())
+        stream.close()
+        context.addPyFile(path.toString())
         context._sitefold_sent = context.applicationId
     return spark

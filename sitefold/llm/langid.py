@@ -133,9 +133,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
                     sums[y] = sums.get(y, 0) + np.bincount(cells, minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["y", "v"])
 
-    counts: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(counted, "y string, v binary").collect():  # at most eight vectors a language
-        counts[r["y"]] = counts.get(r["y"], 0) + np.frombuffer(r["v"], "<i8")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for y, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[y] = sums.get(y, 0) + np.frombuffer(v, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["y", "v"])
+
+    # at most eight vectors a language are added up on the executors; the driver gets one
+    vectors = some.mapInArrow(counted, "y string, v binary").repartition("y").mapInArrow(added, "y string, v binary")
+    counts = {r["y"]: np.frombuffer(r["v"], "<i8") for r in vectors.collect()}
     model = Model(counts)
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +163,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``row`` (the input's row as a struct), doc_id, lang_pred, score and ambiguous of every row."""
     shipped(docs.sparkSession)
     model = fit(docs, id_col, text_col, lang_col)
-    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    doc_id, text = docs.columns.index(id_col), docs.columns.index(text_col)
     if model is None:
-        return base.select("row", "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        return base.select("row", F.col("row")[id_col].alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            fields = batch.column(0).flatten()
+            texts = [t or "" for t in fields[text].to_pylist()]
             best, score = known.decode(margins(texts, known.weights)) if texts else ([], [])
             worded = [bool(LETTER.search(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    batch.column(1),
+                    fields[doc_id],
                     pa.array([known.langs[k] if w else "und" for k, w in zip(best, worded, strict=True)], pa.string()),
                     pa.array([float(s) if w else 0.0 for s, w in zip(score, worded, strict=True)], pa.float64()),
                     pa.array([not w or float(s) < AMBIGUOUS for s, w in zip(score, worded, strict=True)], pa.bool_()),
@@ -179,6 +188,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             )
 
     schema = T.StructType(
-        [base.schema["row"], base.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+        [base.schema["row"], T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     )
     return base.mapInArrow(run, schema)

@@ -18,14 +18,10 @@ and becomes empty; an empty table gives an empty result; other columns pass thro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sitefold.llm.common import durable, let, shipped, small
+from sitefold.llm.common import durable, let, small
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 3, 10, 0.7
 FIELD = "<*>"
@@ -91,24 +87,17 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (the input's row as a struct, its text without dropped lines), n_lines and n_dropped of every row."""
-    shipped(docs.sparkSession)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    base = docs.select(row, F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
-    marked = recurring_lines(base.select("doc_id", "key", "t")).filter("dropped")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    marked = recurring_lines(slim).filter("dropped")
     gone = marked.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("i").alias("gone"))
-    both = base.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("row", "t", "gone")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, totals, drops = [], [], []
-            for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = t.split("\n") if t is not None else []
-                lost = set(own or ())
-                texts.append(t if not lost else "\n".join([x for i, x in enumerate(lines) if i not in lost]))
-                totals.append(len(lines))
-                drops.append(len(lost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], ["row", "t", "n_lines", "n_dropped"])
-
-    schema = T.StructType([both.schema["row"], T.StructField("t", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    done = both.mapInArrow(cut, schema)
-    return done.select(F.col("row").withField(f"`{text_col}`", F.col("t")).alias("row"), "n_lines", "n_dropped")
+    # the text travels once, within its row
+    base = docs.select(row, F.xxhash64(F.col(text_col)).alias("key"))
+    both = base.join(gone, F.col("row")[id_col].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("row", "gone")
+    text = F.col("row")[text_col]
+    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
+    cut = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda x: F.array_join(rest(x), "\n")))
+    count = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("bigint")
+    return both.select(
+        F.col("row").withField(f"`{text_col}`", cut).alias("row"), count.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped")
+    )
