@@ -138,7 +138,7 @@ def kept_lines(docs, depth=3, min_tokens=3, min_docs=10, similar=0.7):
     for own in groups.values():
         holders, arounds = {k for k, _, _ in own}, {a for _, _, a in own}
         if len(holders) >= min_docs and len(arounds) >= min_docs and 2 * len(arounds) >= len(holders):
-            first = min(k[0] for k in holders)
+            first = min((k[0] for k in holders), key=lambda x: (x is not None, x))  # nulls come first
             for key, i, _ in own:
                 if key[0] != first:
                     gone[key].add(i)

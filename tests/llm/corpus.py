@@ -42,6 +42,7 @@ def make(seed=1, size=60):
     odd = [None, "", " ", "\n\n", "word", "Ünïcödé ünïcödé ünïcödé", "5 6 7", "a" * 3000, "x " * 2500, "日本語 テキスト 😀", "one two three four", "é" * 500 + " " + "é" * 500]
     docs += [(300 + k, t) for k, t in enumerate(odd)]
     docs.append(docs[3])  # a repeated row
+    docs += [(None, docs[5][1]), (None, paragraph(rng, 70)), (None, None)]
     docs.append((500, " ".join(paragraph(rng, 30) for _ in range(100)) + "\n" + passage))
     return docs, items
 

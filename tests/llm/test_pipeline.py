@@ -13,6 +13,7 @@ from tests.llm.corpus import frame, item_frame, make
 
 def test_stages(spark, tmp_path):
     docs, items = make(seed=3, size=80)
+    docs = [x for x in docs if x[0] is not None]
     docs.append((900, "!!! ??? 123"))
     frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
     item_frame(spark, items).select("item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
