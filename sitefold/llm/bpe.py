@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import json
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from tokenizers import normalizers
 
 from sitefold.llm.common import shipped
 
-#: Words kept with their encodings by each worker; beyond, the table is started anew.
-KEPT_WORDS = 600_000
+#: Words kept with their encodings by each worker, in each of two generations; words that are met again move to the younger one.
+KEPT_WORDS = 150_000
 #: Characters of a text that are handled at once.
 PIECE = 1 << 20
 #: Fixed value: what the tokenizer file's splitter keeps.
@@ -183,20 +184,19 @@ class Bpe:
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids: list[bytes] = []
-        out: list[str] = []
         for piece in self.pieces(text):
             if isinstance(piece, int):
                 ids.append(struct.pack("<I", piece))
-                out.append(self.names[piece])
             else:
-                found = [self.known[w] for w in piece.replace("\n", " ").split(" ") if w]
-                ids.extend([a for a, _ in found])
-                out.extend([b for a, b in found if a])
-        return b"".join(ids), " ".join(out)
+                known = self.known
+                ids.extend([known[w] for w in piece.replace("\n", " ").split(" ") if w])
+        raw = b"".join(ids)
+        return raw, self.decode(memoryview(raw).cast("I").tolist() if sys.byteorder == "little" else struct.unpack(f"<{len(raw) // 4}I", raw))
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes where a file names no decoder: the tokens with blanks between them."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        names = self.names
+        return " ".join([names[i] for i in ids])
 
     def readable(self, ids: Iterator[int]) -> Iterator[str]:
         """The text that the tokens spell, piece by piece: bytes that end within a character wait for its rest."""
@@ -218,18 +218,20 @@ class _Known(dict):
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, raw: str) -> tuple[bytes, str]:
-        bpe = self.bpe
-        parts = WORD.findall(raw)
-        if parts == [raw]:
-            ids = bpe.word("".join([bpe.table[b] for b in raw.encode()]))
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([bpe.names[i] for i in ids])
-        else:
-            each = [self[p] for p in parts]
-            found = b"".join([a for a, _ in each]), " ".join([b for _, b in each])
-        if len(raw) <= bpe.lookahead:
+    def __missing__(self, raw: str) -> bytes:
+        found = self.older.get(raw)
+        if found is None:
+            parts = WORD.findall(raw)
+            if parts == [raw]:
+                ids = self.bpe.word("".join([self.bpe.table[b] for b in raw.encode()]))
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                found = b"".join([self[p] for p in parts])
+        if len(raw) <= self.bpe.lookahead:
             if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[raw] = found
         return found
