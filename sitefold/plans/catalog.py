@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 query("posid", f"WITH {S} SELECT {ROW}, posid FROM sites")(lambda s, d: generate_posid(P.sites(s, d)))
 query(
     "db_import",
-    f"""WITH {S}, db AS (SELECT *, 'GTSP' || sample || '-' || CAST(replicate AS VARCHAR) AS samplename FROM sites)
+    f"""WITH {S}, db AS (SELECT *, 'SMP' || sample || '-' || CAST(replicate AS VARCHAR) AS samplename FROM sites)
 SELECT seqnames, "start", "end", strand, samplename, split_part(samplename, '-', 1) AS specimen, counts > 25 AS ismulti FROM db""",
 )(lambda s, d: dbrows.db_to_sites(P.database_rows(s, d)))
 query("vcollapse", "SELECT n_nationkey, replace(CAST(n_nationkey AS VARCHAR), ' ', '') || '-' || replace(n_name, ' ', '') || '-' || CAST(n_regionkey AS VARCHAR) AS v FROM nation")(
@@ -345,7 +346,7 @@ query("asanmat", _scores("round(k / x, 2)", _odd))(lambda s, d: scoring.asanmat(
 def fastq_demux(spark: SparkSession, d: str) -> DataFrame:
     """Writes reads as FASTQ, reads them back and demultiplexes them."""
     folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fastq-")).rstrip("/")
-    path = f"{folder}/reads-{abs(hash(d)) % 10**8}"
+    path = f"{folder}/reads-{uuid.uuid4().hex}"
     names = P.load(spark, d, "supplier").select(
         F.col("s_suppkey").alias("read_index"), F.concat(F.lit("r:"), F.col("s_suppkey").cast("string")).alias("id"), F.repeat(F.lit("ACGT"), F.col("s_suppkey").cast("int") % 9 + 1).alias("seq")
     )

@@ -45,7 +45,7 @@ def database_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(plus, F.col("start")).otherwise(F.col("end")).alias("position"),
         F.when(plus, F.col("end")).otherwise(F.col("start")).alias("breakpoint"),
         "strand",
-        F.concat(F.lit("GTSP"), "sample", F.lit("-"), F.col("replicate").cast("string")).alias("sampleName"),
+        F.concat(F.lit("SMP"), "sample", F.lit("-"), F.col("replicate").cast("string")).alias("sampleName"),
         (F.col("counts") > 25).alias("isMulti"),
     )
 
