@@ -26,18 +26,17 @@ def _base(sites: DataFrame, grouping: str | None, replicates: str | None) -> Dat
 def _ranked(abundance: DataFrame) -> DataFrame:
     """Adds relAbund and relRank (the larger rank of equals).
 
-    Both come from each group's histogram of abundances, which is small however many sites a group has.
+    Both come from each group's histogram of rounded abundances, which is small however many sites a group has.
     """
-    bars = abundance.groupBy("group", "estAbund").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("group").orderBy(F.desc("rounded")).rangeBetween(Window.unboundedPreceding, 0)
+    rounded = abundance.withColumn("_r", F.rint(F.col("estAbund").cast("double")))
+    bars = rounded.groupBy("group", "_r").agg(F.count("*").alias("n"), F.sum("estAbund").alias("s"))
+    down = Window.partitionBy("group").orderBy(F.desc("_r")).rangeBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("group")
-    bars = bars.withColumn("rounded", F.rint(F.col("estAbund").cast("double")))
     bars = bars.select(
-        F.col("group").alias("_g"), F.col("estAbund").alias("_e"), F.sum("n").over(down).cast("bigint").alias("relRank"),
-        (F.col("rounded") / F.sum(F.col("estAbund") * F.col("n")).over(whole)).alias("relAbund"),
-    )
-    same = F.col("group").eqNullSafe(F.col("_g")) & (F.col("estAbund") == F.col("_e"))
-    return abundance.join(bars, same).select("posid", "group", "estAbund", "relAbund", "relRank")
+        F.col("group").alias("_g"), F.col("_r").alias("_e"), F.sum("n").over(down).cast("bigint").alias("relRank"), (F.col("_r") / F.sum("s").over(whole)).alias("relAbund")
+    )
+    same = F.col("group").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_e"))
+    return rounded.join(bars, same).select("posid", "group", "estAbund", "relAbund", "relRank")
 
 
 def fragment_lengths(sites: DataFrame, grouping: str | None = None, replicates: str | None = None) -> DataFrame:
