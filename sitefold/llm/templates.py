@@ -25,8 +25,8 @@ from sitefold.llm.common import durable, let, small
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILAR = 3, 3, 10, 0.7
 FIELD = "<*>"
-#: Tables of leaves are broadcast up to so many rows of 8 bytes.
-BROADCAST_LEAVES = 1_000_000
+#: Tables of leaves are broadcast up to so many rows of 8 bytes, and recurring templates up to so many lines.
+BROADCAST_LEAVES, BROADCAST_TEMPLATES = 1_000_000, 20_000
 
 
 def _tokens(line: Column) -> Column:
@@ -80,8 +80,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     counts = named.groupBy("template").agg(
         F.count_distinct("doc_id", "key").alias("docs"), F.count_distinct("around").alias("arounds"), F.min(F.struct("doc_id", "key")).alias("first")
     )
-    kept = counts.filter((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS) & (2 * F.col("arounds") >= F.col("docs")))
-    out = named.join(kept.select("template", "first"), "template")
+    kept = durable(counts.filter((F.col("docs") >= MIN_DOCS) & (F.col("arounds") >= MIN_DOCS) & (2 * F.col("arounds") >= F.col("docs"))))
+    out = named.join(small(kept.select("template", "first"), kept.count(), BROADCAST_TEMPLATES), "template")
     return out.select("doc_id", "key", "i", "template", (~F.struct("doc_id", "key").eqNullSafe(F.col("first"))).alias("dropped"))
 
 
