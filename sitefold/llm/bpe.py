@@ -17,10 +17,10 @@ from __future__ import annotations
 import codecs
 import json
 import struct
-import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from tokenizers import normalizers
 from sitefold.llm.common import shipped
 
 #: Words kept with their encodings by each worker, in each of two generations; words that are met again move to the younger one.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Characters of a text that are handled at once.
 PIECE = 1 << 20
 #: Fixed value: what the tokenizer file's splitter keeps.
@@ -63,11 +63,14 @@ class Bpe:
         self.last = {t[: -len(self.suffix)]: i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)}
         #: The sufficient lookahead, in symbols.
         self.lookahead = max(max(map(len, self.inner)), max(map(len, self.last), default=1))
-        self.parts = {i: (self.inner.get(t), t) for t, i in self.vocab.items()}
+        self.by_byte = np.array([[self.inner[c], self.last.get(c, self.inner[c])] for _, c in sorted(self.symbols.items())], np.int64)
+        self.ranks = PairTable(self.rank)
+        self.made_ids = np.array([*self.made, 0], np.int64)
         self.fits: dict[tuple[int, int], bool] = {}
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("|".join(regex.escape(m) for m in marks)) if marks else None
-        self.known = _Known(self)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def atoms(self, word: str) -> list[int]:
         """The symbols of a word, the last one with the word's end."""
@@ -181,17 +184,118 @@ class Bpe:
             yield part.lower()
             at = to
 
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that fit into the window: all of them are merged at once, one merge a word and round.
+
+        A round finds each word's lowest rank among its pairs and applies that merge, from left to right, in every
+        word; words without a pair to merge are done.
+        """
+        out = [b""] * len(words)
+        lens = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.by_byte[data, 0]
+        ids[np.cumsum(lens) - 1] = self.by_byte[data[np.cumsum(lens) - 1], 1]
+        who = np.arange(len(words))
+        while len(who):
+            ends = np.cumsum(lens)
+            starts = ends - lens
+            rank = np.full(len(ids), self.ranks.none, np.int64)
+            rank[:-1] = self.ranks.of(ids[:-1], ids[1:])
+            rank[ends - 1] = self.ranks.none
+            best = np.minimum.reduceat(rank, starts)
+            done = best == self.ranks.none
+            if done.any():
+                raw = ids.astype("<u4").tobytes()
+                for k, a, b in zip(who[done].tolist(), starts[done].tolist(), ends[done].tolist(), strict=True):
+                    out[k] = raw[4 * a : 4 * b]
+                stay = np.repeat(~done, lens)
+                ids, rank = ids[stay], rank[stay]
+                who, lens, best = who[~done], lens[~done], best[~done]
+                if not len(who):
+                    break
+                starts = np.cumsum(lens) - lens
+            hit = rank == np.repeat(best, lens)
+            # of overlapping pairs of one symbol every other one is merged
+            first = hit.copy()
+            first[1:] &= ~hit[:-1]
+            place = np.arange(len(ids))
+            hit &= (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+            ids[hit] = self.made_ids[rank[hit]]
+            gone = np.zeros(len(ids), bool)
+            gone[1:] = hit[:-1]
+            lens = lens - np.add.reduceat(hit, starts, dtype=np.int64)
+            ids = ids[~gone]
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes blank-separated pieces that are not known yet."""
+        parts: dict[str, list[str]] = {}
+        words: dict[str, bytes] = {}
+        for piece in pieces:
+            found = self.older.get(piece)
+            if found is not None:
+                self.known[piece] = found
+                continue
+            own = parts[piece] = WORD.findall(piece)
+            for w in own:
+                if w not in self.known and w not in words:
+                    before = self.older.get(w)
+                    if before is None:
+                        words[w] = b""
+                    else:
+                        self.known[w] = before
+        raws = {w: w.encode() for w in words}
+        short = [w for w, r in raws.items() if len(r) <= self.lookahead]
+        if short:
+            words |= dict(zip(short, self.merged_together([raws[w] for w in short]), strict=True))
+        for w, r in raws.items():
+            if len(r) > self.lookahead:
+                ids = list(self.stream(self.table[b] for b in r))
+                words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known |= words
+        for piece, own in parts.items():
+            if own != [piece]:
+                self.known[piece] = b"".join([self.known[w] for w in own])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str] | bytes]] = []
+        size = 0
+
+        def settle() -> None:
+            if len(self.known) > KEPT_WORDS:
+                self.older, self.known = self.known, {}
+            fresh: set[str] = set()
+            for _, unit in held:
+                if isinstance(unit, list):
+                    fresh.update(unit)
+            fresh.difference_update(self.known)
+            self.learn(fresh)
+            known = self.known
+            for k, unit in held:
+                out[k].append(unit if isinstance(unit, bytes) else b"".join([known[w] for w in unit]))
+            for piece in [w for w in fresh if len(w) > self.lookahead]:
+                del known[piece]
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for piece in self.pieces(text):
+                if isinstance(piece, int):
+                    held.append((k, struct.pack("<I", piece)))
+                    continue
+                held.append((k, [w for w in piece.replace("\n", " ").split(" ") if w]))
+                size += len(piece)
+                if size >= PIECE:
+                    settle()
+                    size = 0
+        settle()
+        return [b"".join(x) for x in out]
+
     def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        ids: list[bytes] = []
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                ids.append(struct.pack("<I", piece))
-            else:
-                known = self.known
-                ids.extend([known[w] for w in piece.replace("\n", " ").split(" ") if w])
-        raw = b"".join(ids)
-        return raw, self.decode(memoryview(raw).cast("I").tolist() if sys.byteorder == "little" else struct.unpack(f"<{len(raw) // 4}I", raw))
+        """A text's ids and its decoded form."""
+        (raw,) = self.encode_all([text])
+        return raw, self.decode(unpacked(raw))
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes where a file names no decoder: the tokens with blanks between them."""
@@ -213,28 +317,43 @@ class Bpe:
         yield state.decode(b"", True)
 
 
-class _Known(dict):
-    """Encodings of blank-separated pieces met before; those longer than the window are not kept."""
+class PairTable:
+    """Ranks of pairs of ids, looked up for whole arrays: open addressing in a table of 2^18 cells."""
 
-    def __init__(self, bpe: Bpe) -> None:
-        self.bpe = bpe
-        self.older: dict[str, bytes] = {}
+    BITS = 18
 
-    def __missing__(self, raw: str) -> bytes:
-        found = self.older.get(raw)
-        if found is None:
-            parts = WORD.findall(raw)
-            if parts == [raw]:
-                ids = self.bpe.word("".join([self.bpe.table[b] for b in raw.encode()]))
-                found = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                found = b"".join([self[p] for p in parts])
-        if len(raw) <= self.bpe.lookahead:
-            if len(self) >= KEPT_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[raw] = found
-        return found
+    def __init__(self, rank: dict[tuple[int, int], int]) -> None:
+        self.none = len(rank)
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.values = np.full(1 << self.BITS, self.none, np.int64)
+        for (a, b), n in rank.items():
+            key = (a << 20) | b
+            at = self._home(np.array([key]))[0]
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.BITS) - 1)
+            self.keys[at], self.values[at] = key, n
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 20) | b
+        at = self._home(key)
+        out = self.values[at]
+        held = self.keys[at]
+        left = np.flatnonzero((held != key) & (held >= 0))
+        out[(held != key)] = self.none
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.BITS) - 1)
+            held = self.keys[at[left]]
+            match = held == key[left]
+            out[left[match]] = self.values[at[left[match]]]
+            left = left[~match & (held >= 0)]
+        return out
+
+
+def unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
 
 
 _loaded: dict[int, Bpe] = {}
@@ -260,9 +379,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                found = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.string())],
+                    [part.column(0), pa.array(found, pa.binary()), pa.array([bpe.decode(unpacked(x)) for x in found], pa.string())],
                     ["doc_id", "ids", "decoded"],
                 )
 
