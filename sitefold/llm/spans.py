@@ -45,10 +45,9 @@ NONE = 255  # no byte of UTF-8
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of each 32-byte gram, by doubling."""
-    h, n, base = S.BYTE[data], 1, S.BASE
+    h, n = S.BYTE[data], 1
     while n < GRAM:
-        h = h[:-n] * base + h[n:]
-        base = base * base
+        h = h[:-n] * U64(pow(int(S.BASE), n, 1 << 64)) + h[n:]
         n *= 2
     h ^= h >> U64(31)
     h *= U64(0x94D049BB133111EB)
