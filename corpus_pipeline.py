@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, and documents that had nothing else; n_chars follows the text."""
-    cut = drop_templates(docs).filter((F.col("n_dropped") == 0) | (F.btrim(F.col("row.text")) != ""))
+    cut = drop_templates(docs, by_text=True).filter((F.col("n_dropped") == 0) | (F.btrim(F.col("row.text")) != ""))
     return cut.select("row.*").withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 

@@ -11,6 +11,9 @@ before and after) and in at least half as many surroundings as documents; so the
 documents, which recur along with their surroundings, are left to the near-duplicate stage.
 Lines of recurring templates are dropped everywhere but in the first document that holds them.
 
+With ``by_text`` (the pipeline) a template recurs if MIN_DOCS distinct texts hold it, whatever surrounds it: copies
+count once, and the copies of the first text keep the line as it does, to be recognised by their whole text.
+
 Defined cases: null text has no lines and stays null; blank lines and lines of fewer than MIN_TOKENS
 tokens stay; repeated rows are one document here (the same id and text); a text may lose all lines
 and becomes empty; an empty table gives an empty result; other columns pass through.
@@ -67,7 +70,7 @@ def _leaf_templates(lines: DataFrame) -> DataFrame:
     return made.select("leaf", F.transform("parts", lambda x: x["token"]).alias("template"))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, by_text: bool = False) -> DataFrame:
     """From (doc_id, key, t): doc_id, key, i and template of each line of a recurring template, and whether it is dropped."""
     leaves = docs.select(F.explode(_leaves(F.col("t"))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf")
     leaves = durable(leaves)
@@ -77,6 +80,11 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     alike = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
     named = seen.join(known, "leaf").withColumn("template", F.when(alike >= SIMILAR * F.size("tokens"), F.col("template")).otherwise(F.col("tokens")))
     named = durable(named.select("doc_id", "key", "i", "around", F.array_join("template", " ").alias("template")))
+    if by_text:
+        texts = named.groupBy("template").agg(F.count_distinct("key").alias("texts"), F.min(F.struct("doc_id", "key")).alias("first"))
+        kept = durable(texts.filter(F.col("texts") >= MIN_DOCS))
+        out = named.join(small(kept.select("template", "first"), kept.count(), BROADCAST_TEMPLATES), "template")
+        return out.select("doc_id", "key", "i", "template", (F.col("key") != F.col("first.key")).alias("dropped"))
     counts = named.groupBy("template").agg(
         F.count_distinct("doc_id", "key").alias("docs"), F.count_distinct("around").alias("arounds"), F.min(F.struct("doc_id", "key")).alias("first")
     )
@@ -85,11 +93,11 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", "i", "template", (~F.struct("doc_id", "key").eqNullSafe(F.col("first"))).alias("dropped"))
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """``row`` (the input's row as a struct, its text without dropped lines), n_lines and n_dropped of every row."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
-    marked = recurring_lines(slim).filter("dropped")
+    marked = recurring_lines(slim, by_text).filter("dropped")
     gone = marked.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("i").alias("gone"))
     # the text travels once, within its row
     base = docs.select(row, F.xxhash64(F.col(text_col)).alias("key"))
