@@ -13,6 +13,8 @@ Lines of recurring templates are dropped everywhere but in the first document th
 
 With ``by_text`` (the pipeline) a template recurs if MIN_DOCS distinct texts hold it, whatever surrounds it: copies
 count once, and the copies of the first text keep the line as it does, to be recognised by their whole text.
+Lines of fewer than MIN_TOKENS tokens, so all lines of unspaced scripts, then recur too: as they stand (trimmed, digits
+and all) and from MIN_DOCS distinct texts on.
 
 Defined cases: null text has no lines and stays null; blank lines and lines of fewer than MIN_TOKENS
 tokens stay; repeated rows are one document here (the same id and text); a text may lose all lines
@@ -93,11 +95,28 @@ def recurring_lines(docs: DataFrame, by_text: bool = False) -> DataFrame:
     return out.select("doc_id", "key", "i", "template", (~F.struct("doc_id", "key").eqNullSafe(F.col("first"))).alias("dropped"))
 
 
+def recurring_short_lines(docs: DataFrame) -> DataFrame:
+    """From (doc_id, key, t): doc_id, key and i of the lines of few tokens that recur as they stand, but for the first text's."""
+
+    def row(x: Column, i: Column) -> Column:
+        short = (x != "") & (F.size(F.split(x, r"\s+")) < MIN_TOKENS)
+        return F.when(short, F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.hash(x).alias("h2")))
+
+    rows = F.transform(F.split(F.col("t"), "\n"), lambda x, i: let(F.btrim(x), lambda y: row(y, i)))
+    seen = docs.select("doc_id", "key", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc_id", "key", "x.*")
+    counts = seen.groupBy("h", "h2").agg(F.count_distinct("key").alias("texts"), F.min(F.struct("doc_id", "key")).alias("first"))
+    kept = durable(counts.filter(F.col("texts") >= MIN_DOCS).select("h", "h2", F.col("first.key").alias("first")))
+    out = seen.join(small(kept, kept.count(), BROADCAST_TEMPLATES), ["h", "h2"])
+    return out.filter(F.col("key") != F.col("first")).select("doc_id", "key", "i")
+
+
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """``row`` (the input's row as a struct, its text without dropped lines), n_lines and n_dropped of every row."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     marked = recurring_lines(slim, by_text).filter("dropped")
+    if by_text:
+        marked = marked.select("doc_id", "key", "i").union(recurring_short_lines(slim))
     gone = marked.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("i").alias("gone"))
     # the text travels once, within its row
     base = docs.select(row, F.xxhash64(F.col(text_col)).alias("key"))

@@ -35,3 +35,16 @@ def test_copies_stay_whole(spark):
     assert all(out[i] == docs[0][1] for i in range(5)) and all(out[10 + i] == body[i + 1] for i in range(15))
     alone = [(i, f"{body[0]}\n{line}") for i in range(40)]
     assert templates.drop_templates(frame(spark, alone), by_text=True).filter("n_dropped > 0").count() == 0
+
+
+def test_short_and_unspaced_lines(spark):
+    """Short lines and lines of an unspaced script recur from 10 texts on; digits tell them apart."""
+    rng = random.Random(9)
+    body = [" ".join(words(rng, 20)) for _ in range(40)]
+    chinese = "版权所有未经许可不得转载2024年" * 20
+    docs = [(i, f"{body[i]}\nLes.\n{chinese}") for i in range(12)]
+    docs += [(20 + i, f"{body[20 + i]}\nrare") for i in range(9)]
+    docs += [(30 + i, f"{body[30 + i]}\n{700 + i}") for i in range(10)]
+    out = rest(spark, docs)
+    assert out[0] == docs[0][1] and all(out[i] == body[i] for i in range(1, 12))
+    assert all(out[d] == t for d, t in docs[12:])
