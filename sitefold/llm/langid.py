@@ -31,8 +31,8 @@ from sitefold.llm.common import durable, shipped
 SAMPLE = 4000
 #: Hashed n-grams, and the longest codeword.
 CELLS, BITS = 1 << 15, 31
-#: Below this share of the weight the nearest codeword is called ambiguous.
-AMBIGUOUS = 0.4
+#: From this ratio of the second codeword's share to the nearest one's on a text is called ambiguous.
+AMBIGUOUS = 0.5
 CHUNK = 1 << 19
 LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes beyond ASCII stand for themselves, all else for a blank.
@@ -101,12 +101,13 @@ class Model:
         """Weights the bits by their training accuracy beyond chance."""
         self.trust = np.maximum(right / max(total, 1) - 0.5, 0.01) * 2
 
-    def decode(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest codeword and its share of the weight; losses are logistic in 12 times the mean log-odds."""
+    def decode(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest codeword, its share of the weight and the second one's share over it; losses are logistic in 12 times the mean log-odds."""
         signs = 2.0 * self.code - 1
         loss = np.logaddexp(0, -12 * signs[None] * m[:, None, :]) @ self.trust
         gap = np.exp(loss.min(1, keepdims=True) - loss)
-        return loss.argmin(1), 1 / gap.sum(1)
+        second = np.sort(gap, 1)[:, -2] if gap.shape[1] > 1 else np.zeros(len(gap))
+        return loss.argmin(1), 1 / gap.sum(1), second
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             fields = batch.column(0).flatten()
             texts = [t or "" for t in fields[text].to_pylist()]
-            best, score = known.decode(margins(texts, known.weights)) if texts else ([], [])
+            best, score, second = known.decode(margins(texts, known.weights)) if texts else ([], [], [])
             worded = [bool(LETTER.search(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     fields[doc_id],
                     pa.array([known.langs[k] if w else "und" for k, w in zip(best, worded, strict=True)], pa.string()),
                     pa.array([float(s) if w else 0.0 for s, w in zip(score, worded, strict=True)], pa.float64()),
-                    pa.array([not w or float(s) < AMBIGUOUS for s, w in zip(score, worded, strict=True)], pa.bool_()),
+                    pa.array([not w or float(s) >= AMBIGUOUS for s, w in zip(second, worded, strict=True)], pa.bool_()),
                 ],
                 ["row", "doc_id", "lang_pred", "score", "ambiguous"],
             )
