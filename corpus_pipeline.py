@@ -17,6 +17,7 @@ from sitefold.llm.common import durable, shared_folder, small
 from sitefold.llm.decontam import decontaminate
 from sitefold.llm.langid import identify
 from sitefold.llm.neardup import near_duplicates
+from sitefold.llm.quality import SPACE
 from sitefold.llm.templates import drop_templates
 
 #: Lists of ids are broadcast up to so many rows.
@@ -37,10 +38,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    found = near_duplicates(docs, percent=SIMILAR)
-    extra = durable(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other")))
-    return docs.join(small(extra, extra.count(), BROADCAST_IDS), docs["doc_id"].eqNullSafe(F.col("other")), "left_anti")
+    """Of each component the text with the smallest id stays; without any id, one row of the smallest text hash.
+
+    Rows with the same id and text are told apart by nothing and stay, unless they have no id.
+    """
+    found = near_duplicates(docs, percent=SIMILAR, by_row=True)
+    extra = durable(found.filter("extra").select(F.col("doc_id").alias("other"), F.col("key").alias("mark")).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col("other")) & (F.xxhash64(docs["text"]) == F.col("mark"))
+    rest = docs.join(small(extra, extra.count(), BROADCAST_IDS), same, "left_anti")
+    # texts without a word are no copies
+    bare = F.col("doc_id").isNull() & F.coalesce(F.btrim("text", F.lit(SPACE)) != "", F.lit(False))
+    return rest.filter(~bare).unionByName(rest.filter(bare).dropDuplicates(["text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(S.node_of(found) if len(found) else None)
             keys.append(S.band_keys(found).view("int64") if len(found) else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "node", "bands"],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
+            ["doc_id", "n_shingles", "node", "bands", *batch.schema.names[2:]],
         )
 
 
@@ -168,13 +168,15 @@ def _merged(percent: int):  # noqa: ANN202
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; ``by_row``: doc_id, key (the text's hash) and whether the row's component goes by another id or text."""
     shipped(docs.sparkSession)
     enough = matches_for(percent)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = dict(base.dtypes)["doc_id"]
-    signed = durable(base.mapInArrow(_signatures, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>"))
+    if by_row:
+        base = base.withColumn("key", F.xxhash64("t"))
+    signed = durable(base.mapInArrow(_signatures, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>{', key bigint' if by_row else ''}"))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
     postings = nodes.select("node", F.posexplode("bands").alias("b", "band"))
     shared = postings.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
@@ -204,7 +206,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     more = durable(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_merged(percent), "u bigint, v bigint").distinct())
     if more.limit(1).count():
         labels = components(links.union(more))
-    grouped = durable(signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")))
+    grouped = durable(signed.drop("bands").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")))
+    if by_row:
+        # an id before no id, then the smallest id and text hash
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        heads = grouped.filter("group is not null").groupBy("group").agg(F.min(order).alias("head"))
+        same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key"))
+        return grouped.join(heads, "group", "left").select("doc_id", "key", (F.col("group").isNotNull() & ~same).alias("extra"))
     heads = grouped.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("head"))
     out = grouped.join(heads, "group", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
