@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.checkpoints import durable
 from sitefold.functions.ids import posid
-from sitefold.schema import CORE, five_prime, require, width
+from sitefold.schema import CORE, five_prime, packed, require, width
 
 #: Group of tables without a grouping column.
 ONE_GROUP = "group1"
@@ -45,40 +45,47 @@ def fragment_lengths(sites: DataFrame, grouping: str | None = None, replicates:
     return lengths.groupBy("posid", "group").agg(F.count("*").alias("estAbund"))
 
 
-def estimated_lengths(sites: DataFrame, grouping: str | None = None, replicates: str | None = None, rounds: int = 20) -> DataFrame:
+def estimated_lengths(
+    sites: DataFrame, grouping: str | None = None, replicates: str | None = None, rounds: int = 200, tolerance: float = 1e-5
+) -> DataFrame:
     """Expected numbers of fragments, by expectation-maximisation (Berry et al., 2012).
 
     The fragments of site i and length j are Poisson with mean theta_i phi_j, and only whether there are any is
     seen.  A seen pair stands for x / (1 - exp(-x)) fragments at x = theta_i phi_j; theta are their sums by
-    site and phi their shares by length, and replicate if there are several.
+    site and phi their shares by length, and replicate if there are several.  Rounds end once no theta changes by more than
+    ``tolerance`` of itself, or after ``rounds`` (0 as tolerance: exactly that many).
     """
     pairs = _base(sites, grouping, replicates).distinct().withColumn("cell", F.concat_ws("|", "width", "replicate"))
     now = pairs.select("posid", "group", "cell")
     now = now.withColumn("theta", F.count("*").over(Window.partitionBy("group", "posid")).cast("double"))
     seen = pairs.groupBy("group", "cell").agg(F.count("*").alias("k"))
     total = pairs.groupBy("group").agg(F.count("*").alias("all"))
-    now = durable(now.join(seen, ["group", "cell"]).join(total, "group").select("posid", "group", "cell", "theta", (F.col("k") / F.col("all")).alias("phi")))
+    shares = seen.join(total, "group").select("group", "cell", (F.col("k") / F.col("all")).alias("phi"))
+    now = durable(now.join(shares, ["group", "cell"]).select("posid", "group", "cell", "theta", "phi"))
     mean = F.col("theta") * F.col("phi")
     for _ in range(rounds):
-        x = now.select("posid", "group", "cell", (mean / (1 - F.exp(-mean))).alias("x"))
-        by_site = x.groupBy("posid", "group").agg(F.sum("x").alias("theta"))
+        x = now.select("posid", "group", "cell", "theta", (mean / (1 - F.exp(-mean))).alias("x"))
+        by_site = x.groupBy("posid", "group").agg(F.sum("x").alias("next"))
         by_cell = x.groupBy("group", "cell").agg(F.sum("x").alias("s"))
         by_group = by_cell.groupBy("group").agg(F.sum("s").alias("all"))
         phi = by_cell.join(by_group, "group").select("group", "cell", (F.col("s") / F.col("all")).alias("phi"))
-        now = now.select("posid", "group", "cell").join(by_site, ["posid", "group"]).join(phi, ["group", "cell"])
+        moved = x.select("posid", "group", "cell", "theta").join(by_site, ["posid", "group"]).join(phi, ["group", "cell"])
         # a round uses its predecessor several times, so each one is kept
-        now = durable(now.select("posid", "group", "cell", "theta", "phi"))
+        moved = durable(moved.select("posid", "group", "cell", F.col("theta").alias("before"), F.col("next").alias("theta"), "phi"))
+        now = moved.drop("before")
+        if tolerance and (moved.agg(F.max(F.abs(F.col("theta") / F.col("before") - 1))).first()[0] or 0.0) <= tolerance:
+            break
     return now.groupBy("posid", "group").agg(F.max("theta").alias("estAbund"))
 
 
 METHODS = {"fragLen": fragment_lengths, "estAbund": estimated_lengths}
 
 
-def determine_abundance(sites: DataFrame, grouping: str | None = None, replicates: str | None = None, method: str = "fragLen") -> DataFrame:
-    """posid, group, estAbund, relAbund (of the group's total) and relRank of every position."""
+def determine_abundance(sites: DataFrame, grouping: str | None = None, replicates: str | None = None, method: str = "fragLen", **options) -> DataFrame:
+    """posid, group, estAbund, relAbund (of the group's total) and relRank of every position; options go to the method."""
     if method not in METHODS:
         raise ValueError(f"determine_abundance: unknown method {method!r}")
-    return _ranked(METHODS[method](sites, grouping, replicates))
+    return _ranked(METHODS[method](sites, grouping, replicates, **options))
 
 
 def condense_intsites(
@@ -87,16 +94,14 @@ def condense_intsites(
     """The first row, by ``order_by``, of each position in each group, as one base; optionally with its abundance."""
     require(sites, *CORE, *order_by, *[c for c in (grouping, replicates) if c])
     # the first row by an aggregate, which combines before the shuffle and holds one row a position
-    row = F.struct(*[F.col(f"`{c}`") for c in sites.columns])
     key = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    named = sites.select(posid().alias("_p"), (F.col(grouping).cast("string") if grouping else F.lit(ONE_GROUP)).alias("_g"), row.alias("_row"), key.alias("_key"))
-    first = named.groupBy("_p", "_g").agg(F.min_by("_row", "_key").alias("_row"))
-    out = first.select("_row.*", "_p", "_g")
-    at = five_prime()
-    out = out.withColumn("_at", at).withColumns({"start": F.col("_at"), "end": F.col("_at")}).drop("_at")
-    own = [c for c in sites.columns]
+    named = packed(sites, posid=posid(), group=F.col(grouping).cast("string") if grouping else F.lit(ONE_GROUP), key=key, at=five_prime())
+    first = named.groupBy("posid", "group").agg(F.min_by("row", "key").alias("row"), F.max("at").alias("at"))
+    kind = dict(sites.dtypes)
+    row = F.col("row").withField("start", F.col("at").cast(kind["start"])).withField("end", F.col("at").cast(kind["end"]))
+    out = first.select(row.alias("row"), F.col("posid").alias("place"), F.col("group").alias("of"))
     if not return_abundance:
-        return out.select(*own, F.col("_p").alias("posid"))
-    found = determine_abundance(sites, grouping, replicates, method).withColumnsRenamed({"posid": "_q", "group": "_h"})
-    joined = out.join(found, (F.col("_p") == F.col("_q")) & F.col("_g").eqNullSafe(F.col("_h")), "left")
-    return joined.select(*own, "estAbund", "relAbund", "relRank", F.col("_p").alias("posid"))
+        return out.select("row.*", F.col("place").alias("posid"))
+    found = determine_abundance(sites, grouping, replicates, method)
+    joined = out.join(found, F.col("place").eqNullSafe(F.col("posid")) & F.col("of").eqNullSafe(F.col("group")), "left")
+    return joined.select("row.*", "estAbund", "relAbund", "relRank", F.col("place").alias("posid"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefold.schema import CORE, five_prime, require, strand_rank
+from sitefold.schema import CORE, five_prime, packed, require, strand_rank
 
 #: Positions in a bin.
 BIN = 1 << 14
@@ -47,17 +47,17 @@ def chain_numbers(found: DataFrame, keys: list[str], order: list[Column], name:
 
 
 def serial_cluster(sites: DataFrame, gaps: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    """For each gap a column ``clusID_<gap>nt`` with the number of the row's chain of 5' positions."""
+    """For each gap a column ``clusID_<gap>nt`` with the number of the row's chain of 5' positions (null without a sequence, strand or position)."""
     require(sites, *CORE)
     keys = ["seqnames", "strand"]
-    out = sites.withColumn("_pos", five_prime())
-    points = out.select(*keys, "_pos").distinct()
+    out = packed(sites, seqnames=F.col("seqnames"), strand=F.col("strand"), pos=five_prime())
+    points = out.select(*keys, "pos").distinct()
     for gap in gaps:
-        found = chains(points, keys, "_pos", gap)
+        found = chains(points, keys, "pos", gap)
         numbers = chain_numbers(found, keys, [F.col("seqnames"), strand_rank(F.col("strand"))])
-        named = found.join(numbers, [*keys, "island"]).select(*keys, "_pos", F.col("number").alias(f"clusID_{gap}nt"))
-        out = out.join(named, [*keys, "_pos"], "left")
-    return out.select(*sites.columns, *[f"clusID_{g}nt" for g in gaps])
+        named = found.join(numbers, [*keys, "island"]).select(*keys, "pos", F.col("number").alias(f"clusID_{gap}nt"))
+        out = out.join(named, [*keys, "pos"], "left")
+    return out.select("row.*", *[f"clusID_{g}nt" for g in gaps])
 
 
 def graph_clusters(sites: DataFrame, gap: int, row_id: str = "row_id") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.operators.islands import chains
-from sitefold.schema import CORE, five_prime, require, stranded, three_prime
+from sitefold.schema import CORE, five_prime, packed, require, stranded, three_prime
 
 KEYS = ["grouping", "posID"]
 
@@ -78,25 +78,31 @@ def cluster_sites(
     """
     require(sites, "seqnames", "strand", position)
     if weight is None and "qName" in sites.columns:
-        sites = sites.withColumn("_w", F.coalesce(F.regexp_extract("qName", r"counts=(\d+)", 1).try_cast("bigint"), F.lit(1)))
+        by = F.coalesce(F.regexp_extract("qName", r"counts=(\d+)", 1).try_cast("bigint"), F.lit(1))
     else:
-        sites = sites.withColumn("_w", F.col(weight) if weight else F.lit(1))
-    own = [c for c in sites.columns if c != "_w"]
-    named = sites.withColumns({"_p": F.concat("seqnames", F.lit("|"), "strand"), "_g": F.col(grouping).cast("string") if grouping else F.lit("")})
-    single = named.filter(~F.coalesce(F.col(multihit), F.lit(False))) if multihit in sites.columns else named
-    found = cluster_values(single, "_p", position, "_g", "_w", window).select(
-        F.col("grouping").alias("_g"), F.col("posID").alias("_p"), F.col("value").alias("_v"), F.col("clusteredValue").alias("clusteredPosition"), F.col("`clusteredValue.freq`").alias("clonecount")
+        by = F.col(weight) if weight else F.lit(1)
+    named = packed(
+        sites,
+        g=F.col(grouping).cast("string") if grouping else F.lit(""),
+        p=F.concat("seqnames", F.lit("|"), "strand"),
+        v=F.col(position).cast("bigint"),
+        w=by,
+        top=F.col(score) if score else F.lit(1),
+        multi=F.coalesce(F.col(multihit), F.lit(False)) if multihit in sites.columns else F.lit(False),
     )
-    out = single.withColumn("_v", F.col(position).cast("bigint")).join(found, ["_g", "_p", "_v"], "left")
-    top = F.col(score) if score else F.lit(1)
-    best = Window.partitionBy("_g", "_p", "clusteredPosition")
-    out = out.withColumn("clusterTopHit", top == F.max(top).over(best))
-    kinds = dict(out.dtypes)
-    if multihit in sites.columns:
-        rest = named.filter(F.coalesce(F.col(multihit), F.lit(False)))
-        rest = rest.withColumns({c: F.lit(None).cast(kinds[c]) for c in ("clusteredPosition", "clonecount")} | {"clusterTopHit": F.lit(False)})
-        out = out.select(*own, "clusteredPosition", "clonecount", "clusterTopHit").unionByName(rest.select(*own, "clusteredPosition", "clonecount", "clusterTopHit"))
-    return out.select(*own, "clusteredPosition", "clonecount", "clusterTopHit")
+    found = cluster_values(named.filter("not multi"), "p", "v", "g", "w", window).select(
+        F.col("grouping").alias("fg"), F.col("posID").alias("fp"), F.col("value").alias("fv"), F.col("clusteredValue").alias("clusteredPosition"), F.col("`clusteredValue.freq`").alias("clonecount")
+    )
+    best = named.filter("not multi").join(found, _same_value()).groupBy("g", "p", "clusteredPosition").agg(F.max("top").alias("best"))
+    best = best.select(F.col("g").alias("bg"), F.col("p").alias("bp"), F.col("clusteredPosition").alias("bc"), "best")
+    out = named.join(found, ~F.col("multi") & _same_value(), "left")
+    held = F.col("g").eqNullSafe(F.col("bg")) & (F.col("p") == F.col("bp")) & (F.col("clusteredPosition") == F.col("bc"))
+    out = out.join(best, held, "left")
+    return out.select("row.*", "clusteredPosition", "clonecount", F.coalesce(F.col("top") == F.col("best"), F.lit(False)).alias("clusterTopHit"))
+
+
+def _same_value() -> Column:
+    return F.col("g").eqNullSafe(F.col("fg")) & (F.col("p") == F.col("fp")) & (F.col("v") == F.col("fv"))
 
 
 def standardize_by_window(sites: DataFrame, window: int = 5) -> DataFrame:

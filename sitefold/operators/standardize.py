@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.operators.islands import chains
-from sitefold.schema import CORE, five_prime, require, stranded, three_prime
+from sitefold.schema import CORE, five_prime, packed, require, stranded, three_prime
 
 FORWARD, BACK, NONE = 1, -1, 0
 KEYS = ["seqnames", "strand", "chain"]
@@ -39,7 +39,8 @@ def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int) -> D
     require(sites, *CORE, *([counts_col] if counts_col else []))
     count = F.coalesce(F.col(counts_col), F.lit(0)) if counts_col else F.lit(1)
     found = sites.select("seqnames", stranded().alias("strand"), pos.cast("bigint").alias("pos"), count.alias("c"))
-    found = found.groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
+    # rows without a sequence or position make no point
+    found = found.filter(F.col("seqnames").isNotNull() & F.col("pos").isNotNull()).groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
     cut = chains(found, ["seqnames", "strand"], "pos", gap, "chain")
     return cut.repartition(*KEYS)
 
@@ -132,25 +133,30 @@ def called_breaks(sites: DataFrame, counts_col: str | None = None, min_gap: int
     return found.withColumn("adj", source).select("seqnames", "strand", "pos", "adj")
 
 
-def _written(sites: DataFrame, calls: DataFrame, pos: Column, moves_start: Column, details: bool) -> DataFrame:
-    calls = calls.select(F.col("seqnames").alias("_s"), F.col("strand").alias("_t"), F.col("pos").alias("called_pos"), F.col("adj").alias("adj_pos"))
-    own = (F.col("seqnames") == F.col("_s")) & (F.col("strand") == F.col("_t")) & (pos.cast("bigint") == F.col("called_pos"))
-    out = sites.join(calls, own)
+def _written(sites: DataFrame, calls: DataFrame, pos: Column, moves_start: str, details: bool) -> DataFrame:
+    """Every row, moved to its call; a row without a sequence or position has none and stays as it is."""
+    calls = calls.select(F.col("seqnames").alias("on"), F.col("strand").alias("side"), F.col("pos").alias("called_pos"), F.col("adj").alias("adj_pos"))
+    rows = packed(sites, seqnames=F.col("seqnames"), strand=F.col("strand"), pos=pos.cast("bigint"))
+    own = (F.col("seqnames") == F.col("on")) & (F.col("strand") == F.col("side")) & (F.col("pos") == F.col("called_pos"))
+    out = rows.join(calls, own, "left")
     kind = dict(sites.dtypes)
-    new = {
-        "start": F.when(moves_start, F.col("adj_pos")).otherwise(F.col("start")).cast(kind["start"]),
-        "end": F.when(moves_start, F.col("end")).otherwise(F.col("adj_pos")).cast(kind["end"]),
-    }
-    return out.withColumns(new).select(*sites.columns, *(["called_pos", "adj_pos"] if details else []))
+    at = lambda name, moves: F.when(moves & F.col("adj_pos").isNotNull(), F.col("adj_pos")).otherwise(F.col("row")[name]).cast(kind[name])
+    plus = (F.col("strand") == "+") if moves_start == "+" else (F.col("strand") != "+")
+    row = F.col("row").withField("start", at("start", plus)).withField("end", at("end", ~plus))
+    return out.select(row.alias("row"), "called_pos", "adj_pos").select("row.*", *(["called_pos", "adj_pos"] if details else []))
 
 
 def standardize_sites(sites: DataFrame, counts_col: str | None = None, min_gap: int = 1, sata_gap: int = 5, details: bool = False) -> DataFrame:
-    """The rows with their 5' position moved to the consensus of its cluster; ``details`` adds called_pos and adj_pos."""
+    """The rows with their 5' position moved to the consensus of its cluster; ``details`` adds called_pos and adj_pos.
+
+    As many rows come out as go in, in no order: rows without a sequence or position stay as they are, with null details; a
+    strand other than + or - (null as well) raises; repeated rows count each; an empty table gives an empty result.
+    """
     calls = called_sites(sites, counts_col, min_gap, sata_gap)
-    return _written(sites, calls, five_prime(), F.col("strand") == "+", details)
+    return _written(sites, calls, five_prime(), "+", details)
 
 
 def refine_breakpoints(sites: DataFrame, counts_col: str | None = None, min_gap: int = 1, sata_gap: int = 3, details: bool = False) -> DataFrame:
-    """The rows with their 3' position moved to the consensus of its cluster."""
+    """The rows with their 3' position moved to the consensus of its cluster; odd rows as in ``standardize_sites``."""
     calls = called_breaks(sites, counts_col, min_gap, sata_gap)
-    return _written(sites, calls, three_prime(), F.col("strand") != "+", details)
+    return _written(sites, calls, three_prime(), "-", details)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.ids import posid
 from sitefold.operators.islands import bin_of
-from sitefold.schema import CORE, five_prime, require
+from sitefold.schema import CORE, five_prime, packed, require
 
 
 def shared_points(sites: DataFrame, origin: str, gap: int) -> DataFrame:
@@ -27,7 +27,10 @@ def shared_points(sites: DataFrame, origin: str, gap: int) -> DataFrame:
 
 
 def track_clones(sites: DataFrame | dict[str, DataFrame] | list[DataFrame], gap: int = 5, track_origin: bool = True, origin: str = "origin") -> DataFrame:
-    """Distinct rows that have a partner in another set, with ``posid``; sets are told apart by ``origin``."""
+    """Distinct rows that have a partner in another set, with ``posid``; sets are told apart by ``origin``.
+
+    Rows without a sequence, strand, position or set have no partner; an empty table gives an empty result.
+    """
     if not isinstance(sites, DataFrame):
         named = sites.items() if isinstance(sites, dict) else [(str(i + 1), s) for i, s in enumerate(sites)]
         tables = [s.withColumn(origin, F.lit(n)) for n, s in named]
@@ -35,7 +38,8 @@ def track_clones(sites: DataFrame | dict[str, DataFrame] | list[DataFrame], gap:
         for t in tables[1:]:
             sites = sites.unionByName(t, allowMissingColumns=True)
     require(sites, *CORE, origin)
-    found = shared_points(sites, origin, gap).toDF("_s", "_t", "_p", "_o")
-    own = (F.col("seqnames") == F.col("_s")) & (F.col("strand") == F.col("_t")) & (five_prime() == F.col("_p")) & (F.col(origin) == F.col("_o"))
-    kept = sites.join(found, own, "left_semi").withColumn("posid", posid())
+    found = shared_points(sites, origin, gap)
+    rows = packed(sites, on=F.col("seqnames"), side=F.col("strand"), at=five_prime(), of=F.col(origin), posid=posid())
+    own = (F.col("on") == F.col("seqnames")) & (F.col("side") == F.col("strand")) & (F.col("at") == F.col("pos")) & (F.col("of") == F.col("o"))
+    kept = rows.join(found, own, "left_semi").select("row.*", "posid")
     return (kept if track_origin else kept.drop(origin)).distinct()

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.checkpoints import shared_folder
 from sitefold.functions import diversity, scoring, vectors
 from sitefold.functions.ids import generate_posid
 from sitefold.operators import abundance, components, islands, legacy, multihits, scan, standardize, track
@@ -61,14 +61,11 @@ query(
 )
 query(
     "vintersect",
-    "WITH a AS (SELECT CAST(c_nationkey AS VARCHAR) AS v FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1 UNION ALL SELECT CAST(s_nationkey AS VARCHAR) FROM supplier GROUP BY 1 "
-    "UNION ALL SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey < 3) SELECT v AS value FROM a GROUP BY v HAVING count(*) >= 2",
+    "WITH a AS (SELECT CAST(c_nationkey AS VARCHAR) AS v FROM customer GROUP BY 1 UNION ALL SELECT CAST(s_nationkey AS VARCHAR) FROM supplier GROUP BY 1 "
+    "UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation GROUP BY 1) SELECT v AS value FROM a GROUP BY v HAVING count(*) >= 3",
 )(
     lambda s, d: vectors.vintersect(
-        P.load(s, d, "customer").filter("c_custkey % 3 = 0").select("c_nationkey").distinct(),
-        P.load(s, d, "supplier").select("s_nationkey").distinct(),
-        P.load(s, d, "nation").filter("n_regionkey < 3").select("n_nationkey"),
-        limit=2,
+        P.load(s, d, "customer").select("c_nationkey").distinct(), P.load(s, d, "supplier").select("s_nationkey").distinct(), P.load(s, d, "nation").select("n_regionkey").distinct(), limit=3
     )
 )
 query(
@@ -147,7 +144,29 @@ query(
     f"""WITH {S}, {_first.format(g="sample")}, {AB_G}
 SELECT seqnames, five AS "start", five AS "end", strand, sample, replicate, counts, estAbund, relAbund, relRank, f.posid FROM f JOIN rk ON f.posid = rk.posid AND f.sample = rk."group" WHERE rn = 1""",
 )(lambda s, d: abundance.condense_intsites(P.sites(s, d), "sample", True, replicates="replicate", order_by=ORDER))
-query("est_abund")(lambda s, d: abundance.determine_abundance(P.sites(s, d).filter("seqnames = 'chr1'"), "sample", method="estAbund"))
+
+
+def _em(rounds: int) -> str:
+    """The rounds of the estimate, one after another, from each group's seen pairs."""
+    steps = ["e0 AS MATERIALIZED (SELECT posid, g, cell, CAST(count(*) OVER (PARTITION BY g, posid) AS DOUBLE) AS th, count(*) OVER (PARTITION BY g, cell) / count(*) OVER (PARTITION BY g) AS ph FROM pr)"]
+    for i in range(rounds):
+        steps.append(f"x{i} AS MATERIALIZED (SELECT posid, g, cell, th * ph / (1 - exp(-th * ph)) AS x FROM e{i})")
+        steps.append(
+            f"e{i + 1} AS MATERIALIZED (SELECT posid, g, cell, sum(x) OVER (PARTITION BY g, posid) AS th, sum(x) OVER (PARTITION BY g, cell) / sum(x) OVER (PARTITION BY g) AS ph FROM x{i})"
+        )
+    return ", ".join(steps)
+
+
+EM_ROUNDS = 8
+query(
+    "est_abund",
+    f"""WITH {S}, pr AS (SELECT DISTINCT posid, sample AS g, CAST(width AS VARCHAR) || '|' || CAST(replicate AS VARCHAR) AS cell FROM sites), {_em(EM_ROUNDS)}
+SELECT posid, g AS "group", round(max(th), 4) AS estAbund FROM e{EM_ROUNDS} GROUP BY posid, g""",
+)(
+    lambda s, d: abundance.determine_abundance(P.sites(s, d), "sample", "replicate", method="estAbund", rounds=EM_ROUNDS, tolerance=0).select(
+        "posid", "group", F.round("estAbund", 4).alias("estAbund")
+    )
+)
 
 
 # consensus positions and their phases
@@ -229,6 +248,21 @@ FROM sites JOIN r ON r.posID = seqnames || strand AND r.value = five""",
 )(lambda s, d: legacy.standardize_by_window(P.sites(s, d)))
 
 
+def _table_mode(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.sites(spark, d).withColumns({"Position": five_prime(), "isMultiHit": F.col("counts") == 50, "score": F.col("end") - F.col("start")})
+    return legacy.cluster_sites(rows, weight="counts", grouping="sample", score="score")
+
+
+query(
+    "legacy_cluster_table",
+    f"""WITH {S}, m AS (SELECT *, seqnames || '|' || strand AS pk, counts = 50 AS multi, "end" - "start" AS score FROM sites),
+n AS (SELECT sample AS grouping, pk AS posID, five AS value, CAST(sum(counts) AS BIGINT) AS freq FROM m WHERE NOT multi GROUP BY ALL), {_snap("n", "r")},
+k AS (SELECT *, CAST(sum(freq) OVER (PARTITION BY grouping, posID, cv) AS BIGINT) AS total FROM r),
+j AS (SELECT m.*, cv, total, max(score) OVER (PARTITION BY m.sample, m.pk, cv) AS best FROM m LEFT JOIN k ON NOT multi AND k.grouping = m.sample AND k.posID = m.pk AND k.value = m.five)
+SELECT {ROW}, five AS "Position", multi AS "isMultiHit", score, cv AS "clusteredPosition", total AS clonecount, coalesce(cv IS NOT NULL AND score = best, false) AS "clusterTopHit" FROM j""",
+)(_table_mode)
+
+
 # clones in several sets
 
 def _tracked(gap: int) -> str:
@@ -241,9 +275,32 @@ query("track_clones", _tracked(5))(lambda s, d: track.track_clones(P.sites(s, d)
 query("track_clones_g0", _tracked(0))(lambda s, d: track.track_clones(P.sites(s, d), 0, origin="sample"))
 
 
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table for each sample, with different metadata; the sets are known by their place in the list."""
+    all_ = P.sites(spark, d)
+    a, n, r = (all_.filter(F.col("sample") == x).drop("sample") for x in "ANR")
+    return track.track_clones([a.drop("replicate"), n.withColumn("note", F.lit("n")), r], 3)
+
+
+query(
+    "track_clones_tables",
+    f"""WITH {S}, o AS (SELECT *, CASE sample WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END AS origin FROM sites), p AS (SELECT DISTINCT seqnames, strand, five, origin FROM o)
+SELECT DISTINCT seqnames, "start", "end", strand, CASE WHEN origin <> '1' THEN replicate END AS replicate, counts, CASE WHEN origin = '2' THEN 'n' END AS note, origin, posid FROM o s
+WHERE EXISTS (SELECT 1 FROM p WHERE p.seqnames = s.seqnames AND p.strand = s.strand AND p.five BETWEEN s.five - 3 AND s.five + 3 AND p.origin <> s.origin)""",
+)(_tables)
+
+
 # components
 
-_kv = "pr AS (SELECT DISTINCT CAST(o_custkey % 4001 AS VARCHAR) AS k, o_orderkey % 701 AS v FROM orders WHERE o_orderkey % 13 = 0)"
+_kv = P.PAIRS
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """From each part to its suppliers, as nodes of one kind."""
+    return P.load(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
+
+
 _num = "num AS (SELECT label, dense_rank() OVER (ORDER BY label) AS clus FROM label GROUP BY label)"
 query("cluster_kv", f"WITH RECURSIVE {_kv}, {Q.components('pr')}, {_num} SELECT k AS key, v AS val, clus FROM pr JOIN label ON k = node JOIN num USING (label)")(
     lambda s, d: components.cluster_kv(P.pairs(s, d))
@@ -257,23 +314,20 @@ query(
 )(lambda s, d: components.cluster_kv(P.pairs(s, d), returns="graph"))
 query(
     "bidirectional_edges",
-    "WITH e AS (SELECT DISTINCT o_custkey % 40 AS u, o_orderkey % 40 AS v FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 40 <> o_orderkey % 40) "
+    "WITH e AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem WHERE l_partkey <> l_suppkey) "
     "SELECT CAST(least(u, v) AS VARCHAR) || ':' || CAST(greatest(u, v) AS VARCHAR) AS edge_id FROM e GROUP BY 1 HAVING count(*) > 1",
-)(lambda s, d: components.bidirectional(P.load(s, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") % 40).alias("u"), (F.col("o_orderkey") % 40).alias("v"))))
+)(lambda s, d: components.bidirectional(_edges(s, d)))
 query(
     "source_deficiency",
-    "WITH e AS (SELECT DISTINCT o_custkey % 40 AS u, o_orderkey % 40 AS v FROM orders WHERE o_orderkey % 7 = 0) "
+    "WITH e AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem) "
     "SELECT u, v FROM e QUALIFY row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY u, v) = 1",
-)(
-    lambda s, d: components.one_direction(
-        P.load(s, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") % 40).alias("u"), (F.col("o_orderkey") % 40).alias("v")).distinct(), F.col("u")
-    )
-)
-_mh = f"""WITH RECURSIVE {S}, {P.MULTIHITS}, {Q.chained(5, "five", "multihits")},
+)(lambda s, d: components.one_direction(_edges(s, d).distinct(), F.col("u")))
+_mh = f"""WITH RECURSIVE {P.MULTIHITS}, {Q.chained(5, "five", "multihits")},
 pr AS (SELECT DISTINCT m.readPairKey AS k, c.number AS v FROM multihits m JOIN chain c ON m.seqnames = c.seqnames AND m.strand = c.strand AND m.five = c.pos),
 {Q.components("pr")}, num AS (SELECT label, dense_rank() OVER (ORDER BY label) AS multihitID FROM label GROUP BY label),
 cl AS (SELECT m.* EXCLUDE (multihitid), num.multihitID AS clusterno FROM multihits m JOIN label ON node = readPairKey JOIN num USING (label))"""
-query("cluster_multihits", f"{_mh} SELECT {ROW}, readPairKey, ID, clusterno FROM cl")(
+MH_ROW = 'seqnames, "start", "end", strand, sample'
+query("cluster_multihits", f"{_mh} SELECT {MH_ROW}, readPairKey, ID, clusterno FROM cl")(
     lambda s, d: multihits.cluster_multihits(P.multihits(s, d).drop("multihitid"))["unclusteredMultihits"].withColumnRenamed("multihitID", "clusterno")
 )
 query("cluster_multihits_positions", f'{_mh} SELECT DISTINCT clusterno AS multihitID, seqnames, five AS "start", five AS "end", strand FROM cl')(
@@ -286,9 +340,9 @@ rd AS (SELECT DISTINCT clusterno, ID FROM cl) SELECT clusterno AS multihitID, le
 )(lambda s, d: multihits.cluster_multihits(P.multihits(s, d).drop("multihitid"))["clusteredMultihitLengths"])
 query(
     "normalize_multihit",
-    f"""WITH RECURSIVE {S}, {P.MULTIHITS}, pr AS (SELECT DISTINCT sample AS g, multihitid AS k, posid AS v FROM multihits), {Q.components("pr", "g")},
+    f"""WITH RECURSIVE {P.MULTIHITS}, pr AS (SELECT DISTINCT sample AS g, multihitid AS k, posid AS v FROM multihits), {Q.components("pr", "g")},
 gn AS (SELECT g, dense_rank() OVER (ORDER BY g) AS n FROM pr GROUP BY g), cn AS (SELECT g, label, dense_rank() OVER (PARTITION BY g ORDER BY label) AS c FROM label GROUP BY g, label)
-SELECT {ROW}, readPairKey, ID, multihitid, CAST(n AS VARCHAR) || ':' || CAST(c AS VARCHAR) AS "norm.multihitid"
+SELECT {MH_ROW}, readPairKey, ID, multihitid, CAST(n AS VARCHAR) || ':' || CAST(c AS VARCHAR) AS "norm.multihitid"
 FROM multihits JOIN label l ON l.g = sample AND node = multihitid JOIN gn ON gn.g = sample JOIN cn ON cn.g = sample AND cn.label = l.label""",
 )(lambda s, d: multihits.normalize_multihit_clusters(P.multihits(s, d), grouping="sample"))
 
@@ -342,19 +396,51 @@ query("asanmat", _scores("round(k / x, 2)", _odd))(lambda s, d: scoring.asanmat(
 
 # reads and random sites
 
-@query("fastq_demux")
-def fastq_demux(spark: SparkSession, d: str) -> DataFrame:
-    """Writes reads as FASTQ, reads them back and demultiplexes them."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fastq-")).rstrip("/")
-    path = f"{folder}/reads-{uuid.uuid4().hex}"
+_named = """r AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS read_index, 'r:' || CAST(s_suppkey AS VARCHAR) AS id, repeat('ACGT', CAST(s_suppkey AS INT) % 9 + 1) AS seq FROM supplier)"""
+
+
+def _reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reads written as FASTQ and read back, and the sample of each."""
+    path = f"{shared_folder(spark)}/reads-{uuid.uuid4().hex}"
     names = P.load(spark, d, "supplier").select(
         F.col("s_suppkey").alias("read_index"), F.concat(F.lit("r:"), F.col("s_suppkey").cast("string")).alias("id"), F.repeat(F.lit("ACGT"), F.col("s_suppkey").cast("int") % 9 + 1).alias("seq")
     )
     text = F.concat(F.lit("@"), F.col("id"), F.lit(" x\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
     names.orderBy("read_index").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
     reads = fastq.read_fastq(spark, path)
-    samples = reads.select(F.col("read_index").alias("index"), F.concat(F.lit("s"), (F.col("read_index") % 3).cast("string")).alias("sampleName"))
-    return fastq.demultiplex(reads, samples)
+    return reads, reads.select(F.col("read_index").alias("index"), F.concat(F.lit("s"), (F.col("read_index") % 3).cast("string")).alias("sampleName"))
+
 
+query(
+    "fastq_demux",
+    f"WITH {_named} SELECT 's' || CAST(read_index % 3 AS VARCHAR) AS sampleName, read_index, id, seq, repeat('I', length(seq)) AS qual FROM r",
+)(lambda s, d: fastq.demultiplex(*_reads(s, d)))
 
-query("generate_sites")(lambda s, d: generate.generate_sites(s, n_sites=50, n_reads_p_site=40, seed=3))
+
+@query(
+    "fastq_sink",
+    f"WITH {_named} SELECT 's' || CAST(read_index % 3 AS VARCHAR) || '.R1.fastq.gz' AS file, row_number() OVER (PARTITION BY read_index % 3 ORDER BY read_index) AS read_index, id, seq, repeat('I', length(seq)) AS qual FROM r",
+)
+def fastq_sink(spark: SparkSession, d: str) -> DataFrame:
+    """One compressed file a sample, written and read back."""
+    folder = f"{shared_folder(spark)}/demultiplexed-{uuid.uuid4().hex}"
+    fastq.write_demultiplexed(*_reads(spark, d), folder, "R1")
+    return fastq.read_fastq(spark, f"{folder}/*.fastq.gz").withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query(
+    "generate_sites",
+    "SELECT i AS site, 40 AS reads, true AS near, true AS same_widths, true AS in_range FROM range(50) t(i)",
+)
+def generate_sites(spark: SparkSession, d: str) -> DataFrame:
+    """By site: its reads, whether all start near it, and whether all sites have the same widths, within the range."""
+    rows = generate.generate_sites(spark, n_sites=50, n_reads_p_site=40, positions=[1000 * (i + 1) for i in range(50)], seed=3)
+    length = F.col("end") - F.col("start") + 1
+    by_site = rows.groupBy((F.round(F.col("start") / 1000) - 1).cast("bigint").alias("site")).agg(
+        F.count("*").alias("reads"),
+        F.max(F.abs(F.col("start") - 1000 * F.round(F.col("start") / 1000))).alias("off"),
+        F.sort_array(F.collect_list(length)).alias("widths"),
+    )
+    all_ = by_site.agg(F.min("widths").alias("lo"), F.max("widths").alias("hi"))
+    held = by_site.crossJoin(F.broadcast(all_))  # one row of 40 widths
+    return held.select("site", "reads", (F.col("off") <= 8).alias("near"), (F.col("lo") == F.col("hi")).alias("same_widths"), F.forall("widths", lambda w: w.between(30, 100)).alias("in_range"))

@@ -51,23 +51,38 @@ def database_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers (keys) that share a value of their orders."""
-    orders = load(spark, sf_dir, "orders").filter("o_orderkey % 13 = 0")
-    return orders.select((F.col("o_custkey") % 4001).cast("string").alias("key"), (F.col("o_orderkey") % 701).alias("val")).distinct()
+    """Orders (keys) that share a part in one quantity at one discount, of all line items."""
+    shared = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), F.round(F.col("l_discount") * 100).cast("bigint").cast("string"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), shared.alias("val")).distinct()
+
+
+PAIRS = """pr AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS k,
+  CAST(l_partkey AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) AS v FROM lineitem)"""
 
 
 def multihits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse choice of reads with a pair key and an id."""
-    s = sites(spark, sf_dir).filter((F.col("counts") == 7) & (F.col("replicate") == 1))
-    key = F.concat(F.lit("r"), (F.col("start") % 211).cast("string"), F.lit("_"), "sample")
-    return s.withColumns({"readPairKey": key, "ID": F.concat("readPairKey", F.lit(":"), (F.col("end") % 3).cast("string")), "multihitid": key})
+    """Every line item as a read that aligns where its part and quantity say; an order's reads share a pair key."""
+    pos, length = 1000 + 2000 * F.col("l_partkey") + 40 * F.col("l_quantity").cast("bigint"), 30 + F.col("l_linenumber")
+    plus = F.col("l_linestatus") == "O"
+    key = F.concat(F.lit("r"), F.col("l_orderkey").cast("string"))
+    return load(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("chr"), (F.col("l_suppkey") % 3 + 1).cast("string")).alias("seqnames"),
+        F.when(plus, pos).otherwise(pos - length + 1).alias("start"),
+        F.when(plus, pos + length - 1).otherwise(pos).alias("end"),
+        F.when(plus, "+").otherwise("-").alias("strand"),
+        F.col("l_returnflag").alias("sample"),
+        key.alias("readPairKey"),
+        F.concat(key, F.lit(":"), (F.col("l_linenumber") % 3).cast("string")).alias("ID"),
+        key.alias("multihitid"),
+    )
 
 
 MULTIHITS = """multihits AS (
-  SELECT *, 'r' || CAST("start" % 211 AS VARCHAR) || '_' || sample AS readPairKey,
-         'r' || CAST("start" % 211 AS VARCHAR) || '_' || sample || ':' || CAST("end" % 3 AS VARCHAR) AS ID,
-         'r' || CAST("start" % 211 AS VARCHAR) || '_' || sample AS multihitid
-  FROM sites WHERE counts = 7 AND replicate = 1)"""
+  SELECT seqnames, CASE WHEN strand = '+' THEN p ELSE p - w + 1 END AS "start", CASE WHEN strand = '+' THEN p + w - 1 ELSE p END AS "end", strand, sample, k AS readPairKey,
+         k || ':' || CAST(n % 3 AS VARCHAR) AS ID, k AS multihitid, p AS five, w AS width, seqnames || strand || CAST(p AS VARCHAR) AS posid
+  FROM (SELECT 'chr' || CAST(l_suppkey % 3 + 1 AS VARCHAR) AS seqnames, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand,
+               1000 + 2000 * l_partkey + 40 * CAST(l_quantity AS BIGINT) AS p, 30 + l_linenumber AS w, l_returnflag AS sample, 'r' || CAST(l_orderkey AS VARCHAR) AS k, l_linenumber AS n
+        FROM lineitem))"""
 
 
 def abundances(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}; present: {', '.join(df.columns)}")
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``row`` (all columns as a struct) and the keys: whatever a table's columns are called, nothing clashes with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
 def five_prime() -> Column:
     """The range's 5' base, where integration took place."""
     return F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
