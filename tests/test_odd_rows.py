@@ -1,5 +1,7 @@
 """Null keys, clashing column names and empty tables: what goes in comes out."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,12 +51,20 @@ def test_others_survive_clashes(odd):
     assert named.count() == len(ROWS) and named.columns[:-1] == [*odd.columns, "multihitid"]
 
 
-def test_estimate_settles(odd):
+def test_estimate_rounds(odd):
+    """The estimate against plain Python, and its end once it has settled."""
     rows = odd.filter("seqnames is not null and start is not null and end is not null")
-    short = abundance.estimated_lengths(rows, rounds=200)
-    longer = abundance.estimated_lengths(rows, rounds=250, tolerance=1e-9)
-    a, b = ({r.posid: r.estAbund for r in x.collect()} for x in (short, longer))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-2 * b[k] for k in a)
+    pairs = {(r.posid, str(r.w)) for r in rows.select(posid().alias("posid"), (F.col("end") - F.col("start") + 1).alias("w")).collect()}
+    theta = {p: sum(q == p for q, _ in pairs) for p, _ in pairs}
+    phi = {c: sum(d == c for _, d in pairs) / len(pairs) for _, c in pairs}
+    for _ in range(2):
+        x = {(p, c): theta[p] * phi[c] / (1 - math.exp(-theta[p] * phi[c])) for p, c in pairs}
+        theta = {p: sum(v for (q, _), v in x.items() if q == p) for p in theta}
+        phi = {c: sum(v for (_, d), v in x.items() if d == c) / sum(x.values()) for c in phi}
+    got = {r.posid: r.estAbund for r in abundance.estimated_lengths(rows, rounds=2, tolerance=0).collect()}
+    assert got.keys() == theta.keys() and all(abs(got[p] - theta[p]) < 1e-9 for p in got)
+    settled = {r.posid: r.estAbund for r in abundance.estimated_lengths(rows, rounds=50, tolerance=100.0).collect()}
+    assert all(abs(settled[p] - v) < 5 for p, v in theta.items())
 
 
 def test_folder_must_be_shared_on_a_cluster():
