@@ -39,19 +39,26 @@ SELECT doc_id, CASE WHEN gone.g IS NULL THEN text ELSE array_to_string(list_tran
   CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_dropped
 FROM d LEFT JOIN gone USING (doc_id)"""
 
-#: Hexadecimal digits stand for the bytes: windows are strings of 800.
-SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, CAST(len(x) // 2 AS BIGINT) - 399)) AS i FROM d WHERE len(x) >= 800)),
-r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
-s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS nw FROM r),
-g AS (SELECT doc_id, i, sum(nw) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s),
-sp AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY ALL),
+def _runs(size: int, name: str) -> str:
+    """CTEs that end in ``name``: the runs of bytes (a, b) of each text under strings of ``size`` bytes that start twice; two hexadecimal digits stand for a byte."""
+    return f"""w{size} AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * size})) AS m FROM (SELECT doc_id, x, unnest(range(0, CAST(len(x) // 2 AS BIGINT) - {size - 1})) AS i FROM d WHERE len(x) >= {2 * size})),
+r{size} AS (SELECT doc_id, i FROM w{size} QUALIFY count(*) OVER (PARTITION BY m) > 1),
+s{size} AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {size} THEN 0 ELSE 1 END AS nw FROM r{size}),
+g{size} AS (SELECT doc_id, i, sum(nw) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s{size}),
+{name} AS (SELECT doc_id, k, min(i) AS a, max(i) + {size} AS b FROM g{size} GROUP BY ALL)"""
+
+
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), {_runs(400, "sp")}, {_runs(224, "ps")},
 kp AS (SELECT doc_id, x, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nx FROM sp JOIN d USING (doc_id)),
 cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
-  string_agg(substr(x, 2 * z + 1, 2 * (a - z)) || CASE WHEN nx IS NULL THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM kp GROUP BY doc_id)
-SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id)"""
+  string_agg(substr(x, 2 * z + 1, 2 * (a - z)) || CASE WHEN nx IS NULL THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM kp GROUP BY doc_id),
+pw AS (SELECT doc_id, len(list_filter(regexp_extract_all(substr(x, 2 * a + 1, 2 * (b - a)), '(?:20|0[9A-D])+|(?:2[1-9A-F]|0[0-8EF]|[13-9A-F][0-9A-F])+'),
+  lambda t: NOT regexp_matches(t, '^(20|0[9A-D])'))) AS words FROM ps JOIN d USING (doc_id)),
+pn AS (SELECT doc_id, count(*) AS n FROM pw WHERE words >= 50 GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256,
+  coalesce(n, 0) AS n_passages
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN pn USING (doc_id)"""
 
 NEAR_DUPLICATES = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_BLANK}') AS w FROM documents),

@@ -1,17 +1,21 @@
 """Removal of repeated byte strings through a column-wise multi-document BWT.
 
-Every 400-byte window of every text is anchored at its least 32-byte gram, so equal windows have
-equal anchors at equal offsets.  Neighbouring windows with one anchor form a segment.  Segments
-are pre-aggregated by content, and the distinct segments that share an anchor form a collection of
-short documents, aligned at the anchor.  From the right, each round inserts one symbol per document:
-it reads the order of the suffixes and their common prefixes as files in sequence, emits the symbols
+Every 224-byte window of every text is anchored at its least 32-byte gram, so equal windows have
+equal anchors at equal offsets.  Neighbouring windows with one anchor form a segment, which reaches 400 bytes beyond
+its last window's start.  Segments are pre-aggregated by content, and the distinct segments that share an anchor form
+a collection of short documents, aligned at the anchor.  From the right, each round inserts one symbol per document:
+it reads the order of the suffixes and their common prefixes in sequence, emits the symbols
 before them (the round's part of the collection's BWT), and writes order and common prefixes anew.
-Wherever neighbours in the order share 400 bytes, their windows occur more than once.
+Where neighbours in the order share 400 bytes, their strings occur more than once and are removed; where they share 224
+bytes, they make up passages, which are only reported (from 50 words on): a passage of over 50 words may be shorter than 400 bytes.
 
-Only suffixes at equal distance from the anchor are ever compared, so a round's files hold one
-entry per document and 768 rounds are enough for texts of any length.  Anchors with more than
-GROUP distinct segments (very common passages in many contexts) are not gathered in one task:
-their windows are counted by a 128-bit hash instead, which is exact in the same sense.
+Only suffixes at equal distance from the anchor are ever compared, so a round's arrays hold one
+entry per document and 592 rounds are enough for texts of any length.
+
+An anchor with more than GROUP distinct segments (a very common passage in many contexts) is split by content, for each of the
+two lengths: a range of starts has columns that all of its strings share, and only segments with the same content there can
+have a string of the range in common.  Ranges are halved, so the shared columns widen, until a part has GROUP documents at most and is
+built as above.  Parts are pre-aggregated by content again, which settles the inside of a common passage.
 
 Defined cases: null text is empty; texts under 400 bytes lose nothing; repeated rows count as
 separate occurrences; null ids are keys like others; an empty table gives an empty result;
@@ -20,6 +24,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import shingles as S
-from sitefold.llm.common import durable, shipped, small
-
-#: Length of the strings that are looked for, and of the grams that anchor them.
-LENGTH, GRAM = 400, 32
-WIDTH = LENGTH - GRAM + 1
-#: Distinct segments of one anchor, and of one collection, that a task builds at once.
-GROUP, COLLECTION = 2048, 4096
-#: Keys of texts to be fetched again are broadcast up to so many rows.
-BROADCAST_KEYS = 500_000
+from sitefold.llm.common import deleted, durable, shipped, small, stored
+
+#: Length of the strings that are removed, of the windows that are looked for, and of the grams that anchor them.
+LENGTH, SHORT, GRAM = 400, 224, 32
+WIDTH = SHORT - GRAM + 1
+#: Words from which a repeated run of windows is a passage.
+PASSAGE_WORDS = 50
+#: Distinct segments of one anchor, and of one collection, that a task builds at once; a larger anchor is split.
+GROUP, COLLECTION = 8192, 4096
+#: Keys of texts to be fetched again are broadcast up to so many rows, and found spans up to so many bytes.
+BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 16 << 20
 PIECE = 1 << 18
 U64 = np.uint64
 NONE = 255  # no byte of UTF-8
@@ -69,64 +76,71 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor in the texts ``data[cuts[i]:cuts[i + 1]]``: text, first byte, end, anchor (all within data) and the anchor's hash."""
-    last = int(cuts[-1]) - LENGTH
+    """Runs of windows with one anchor in the texts ``data[cuts[i]:cuts[i + 1]]``: text, first and last start, end of bytes, anchor (all within data) and the anchor's hash."""
+    last = int(cuts[-1]) - SHORT
     at = 0
     while at <= last:
         to = min(at + PIECE, last + 1)
-        hashes = gram_hashes(data[at : to + LENGTH - 1])
+        hashes = gram_hashes(data[at : to + SHORT - 1])
         place = anchors(hashes)
         start = np.arange(at, to)
         text = np.searchsorted(cuts, start, side="right") - 1
-        whole = start + LENGTH <= cuts[text + 1]
+        whole = start + SHORT <= cuts[text + 1]
         start, text, place = start[whole], text[whole], place[whole]
+        beyond = to
         if len(start):
             new = np.flatnonzero((np.diff(place) != 0) | (np.diff(text) != 0) | (np.diff(start) != 1)) + 1
             first = np.concatenate(([0], new))
             final = np.concatenate((new - 1, [len(start) - 1]))
-            yield text[first], start[first], start[final] + LENGTH, place[first] + at, hashes[place[first]]
-        at = to
+            if to <= last and start[-1] == to - 1 and start[first[-1]] > at:
+                # the piece's last run may go on: it is left to the next piece
+                beyond = int(start[first[-1]])
+                first, final = first[:-1], final[:-1]
+            stop = np.minimum(start[final] + LENGTH, cuts[text[final] + 1])
+            yield text[first], start[first], start[final], stop, place[first] + at, hashes[place[first]]
+        at = beyond
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "first", "stop", "anchor", "h", "c1", "c2"]
+    names = ["doc_id", "key", "first", "last", "stop", "anchor", "h", "c1", "c2"]
     for batch in batches:
         for row, data, cuts in S.texts(batch.column(2)):
             raw = data.tobytes()
-            for text, first, stop, anchor, h in segments(data, cuts):
+            for text, first, last, stop, anchor, h in segments(data, cuts):
+                seeds = (anchor - first) * 1024 + (last - first)
                 marks = np.frombuffer(
-                    b"".join([xxhash.xxh3_128_digest(raw[a:b], seed=int(b - c)) for a, b, c in zip(first.tolist(), stop.tolist(), anchor.tolist(), strict=True)]), "<i8"
+                    b"".join([xxhash.xxh3_128_digest(raw[a:b], seed=c) for a, b, c in zip(first.tolist(), stop.tolist(), seeds.tolist(), strict=True)]), "<i8"
                 ).reshape(-1, 2)
                 rows = pa.array(text + row)
                 begin = cuts[text]
+                places = [pa.array((x - begin).astype(np.int32)) for x in (first, last, stop, anchor)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - begin), pa.array(stop - begin),
-                        pa.array(anchor - begin), pa.array(h.view(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                    ],
-                    names,
-                )
+                    [batch.column(0).take(rows), batch.column(1).take(rows), *places, pa.array(h.view(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names
+                )
+
+
+RAW = "h bigint, c1 bigint, c2 bigint, left int, run int, raw binary"
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text and its listed segments -> one row a segment, with the segment's bytes."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         out: list[tuple] = []
         size = 0
         for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode()
             for x in items:
-                out.append((x["h"], x["c1"], x["c2"], x["anchor"] - x["first"], raw[x["first"] : x["stop"]]))
+                out.append((x["h"], x["c1"], x["c2"], x["anchor"] - x["first"], x["last"] - x["first"] + 1, raw[x["first"] : x["stop"]]))
                 size += x["stop"] - x["first"]
-            if size > 1 << 23:
-                yield _rows(out)
+            if size > 1 << 22:
+                yield _batch(out, ["h", "c1", "c2", "left", "run", "raw"], types)
                 out, size = [], 0
-        yield _rows(out)
+        yield _batch(out, ["h", "c1", "c2", "left", "run", "raw"], types)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["h", "c1", "c2", "left", "raw"])
+def _batch(out: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
 
 
 def rounds(columns: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,123 +171,199 @@ def rounds(columns: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield c, order, common, symbols
 
 
-def repeated(raws: list[bytes], lefts: list[int]) -> np.ndarray:
-    """For each document and window start (by distance before the anchor, from the left) whether the window recurs."""
+def reach(raws: list[bytes], firsts: list[int]) -> np.ndarray:
+    """For each document, whose bytes begin in column ``firsts[i]``, and each start column the longest prefix that it shares with another one there."""
     columns = np.full((WIDTH - 1 + LENGTH, len(raws)), NONE, np.uint8)
-    for i, (raw, left) in enumerate(zip(raws, lefts, strict=True)):
-        columns[WIDTH - 1 - left : WIDTH - 1 - left + len(raw), i] = np.frombuffer(raw, np.uint8)
-    out = np.zeros((len(raws), WIDTH), bool)
+    for i, (raw, a) in enumerate(zip(raws, firsts, strict=True)):
+        columns[a : a + len(raw), i] = np.frombuffer(raw, np.uint8)
+    out = np.zeros((len(raws), WIDTH), np.int16)
     for c, order, common, _ in rounds(columns):
         if c < WIDTH:
-            twin = np.flatnonzero(common >= LENGTH)
-            out[order[twin], c] = True
-            out[order[twin - 1], c] = True
+            out[order, c] = common
+            np.maximum.at(out[:, c], order[:-1], common[1:].astype(np.int16))
     return out
 
 
-def covers(flags: np.ndarray, left: int, size: int) -> list[dict]:
-    """The bytes of a segment under recurring windows, as (from, to) within the segment."""
-    at = np.flatnonzero(flags) - (WIDTH - 1 - left)
-    if not len(at):
+def covers(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """The columns under strings of ``size`` that begin at the ascending ``starts``."""
+    if not len(starts):
         return []
-    cut = np.flatnonzero(np.diff(at) > LENGTH) + 1
-    return [{"from": int(a), "to": min(int(b) + LENGTH, size)} for a, b in zip(at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))], strict=True)]
+    cut = np.flatnonzero(np.diff(starts) > size) + 1
+    return [(int(a), int(b) + size) for a, b in zip(starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))], strict=True)]
 
 
-COVER = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+SPAN = "c1 bigint, c2 bigint, size int, lo int, hi int"
 
 
-def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Collections of whole anchors from rows sorted by anchor; rows (h, c1, c2, left, raw)."""
-    held: list[tuple] = []
+def _judged(rows: list[tuple], sizes) -> pa.RecordBatch:  # noqa: ANN001
+    """From rows of (..., c1, c2, first column, starts, bytes): the spans of columns of each length in ``sizes`` of the row."""
+    far = reach([r[-1] for r in rows], [r[-3] for r in rows])
+    out = []
+    for row, found in zip(rows, far, strict=True):
+        a = row[-3]
+        for size in sizes(row):
+            starts = a + np.flatnonzero(found[a : a + row[-2]] >= size)
+            out += [(row[-5], row[-4], size, x, y) for x, y in covers(starts, size)]
+    return _batch(out, ["c1", "c2", "size", "lo", "hi"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated([r[4] for r in rows], [r[3] for r in rows])
-        spans = [covers(f, r[3], len(r[4])) for f, r in zip(flags, rows, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(spans, COVER)], ["c1", "c2", "spans"])
 
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                yield flush(held)
-                held = []
-            held.append(row)
-    if held:
-        yield flush(held)
+def _built(width: int, sizes):  # noqa: ANN001, ANN202
+    """Collections of whole groups from rows sorted by their first ``width`` columns, the group; groups of one length go together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and (sizes(row) != sizes(held[-1]) or (len(held) >= COLLECTION and row[:width] != held[-1][:width])):
+                    yield _judged(held, sizes)
+                    held = []
+                held.append(row)
+        if held:
+            yield _judged(held, sizes)
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window's 128-bit hash, for anchors with too many segments."""
-    for batch in batches:
-        for _, c1, c2, left, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            count = len(raw) - LENGTH + 1
-            marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + LENGTH], seed=left - i + 400) for i in range(count)]), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c1] * count, pa.int64()), pa.array([c2] * count, pa.int64()), pa.array(np.arange(count)), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
-                ["c1", "c2", "at", "w1", "w2"],
-            )
+    return run
+
+
+NODE = ["size", "lo", "hi", "g1", "g2"]
+PART = "size int, lo int, hi int, g1 bigint, g2 bigint, u1 bigint, u2 bigint, c1 bigint, c2 bigint, a int, n int, raw binary"
+
+
+def _parts(first: bool):  # noqa: ANN202
+    """Rows (size, lo, hi, c1, c2, a, n, raw): bytes from column a on with n starts from there -> the halves of the range of starts lo..hi.
+
+    A part has the 128-bit names of the columns that all strings of its range share and of its own bytes.  The strings to be removed
+    are first split by their shared columns in the whole range.
+    """
+    types = [pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.binary()]
+    names = [x.split(" ")[0] for x in PART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                out = []
+                for size, lo, hi, c1, c2, a, n, raw in zip(*[c.to_pylist() for c in batch.slice(at, 2000).columns], strict=True):
+                    mid = (lo + hi) // 2
+                    for x, y in [(lo, hi)] if first and size == LENGTH else [(lo, mid), (mid, hi)]:
+                        s, e = max(a, x), min(a + n, y, a + len(raw) - size + 1)
+                        if s < e:
+                            own = raw[s - a : e - 1 - a + size]
+                            seed = (size << 40) | (x << 30) | (y << 20)
+                            g = xxhash.xxh3_128_digest(raw[y - 1 - a : x + size - a], seed=seed)
+                            u = xxhash.xxh3_128_digest(own, seed=seed | (s << 10) | e)
+                            out.append((size, x, y, *struct.unpack("<qq", g), *struct.unpack("<qq", u), c1, c2, s, e - s, own))
+                yield _batch(out, names, types)
+
+    return run
+
+
+def crowded_spans(raws: DataFrame) -> DataFrame:
+    """c1, c2 and the spans of columns (size, lo, hi) of segments (RAW) whose anchors have too many of them for one task."""
+    a = (F.lit(WIDTH - 1) - F.col("left")).cast("int")
+    sizes = F.explode(F.array(F.lit(SHORT), F.lit(LENGTH))).alias("size")
+    rows = raws.select(sizes, F.lit(0).alias("lo"), F.lit(WIDTH).alias("hi"), "c1", "c2", a.alias("a"), F.col("run").alias("n"), "raw")
+    levels = []
+    # at most nine rounds: a range of one start is settled by the names alone
+    while not levels or rows.limit(1).count():
+        parts = durable(rows.mapInArrow(_parts(not levels), PART))
+        kinds = parts.groupBy(*NODE, "u1", "u2").agg(F.count("*").alias("k"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("raw").alias("raw"))
+        kinds = durable(kinds)
+        groups = kinds.groupBy(*NODE).agg(F.count("*").alias("m")).filter("m > 1")
+        open_ = durable(kinds.filter("hi - lo > 1").join(groups, NODE).select("m", *NODE, "u1", "u2", "a", "n", "raw"))
+        same = kinds.filter("k > 1").select("u1", "u2", "size", F.col("a").alias("lo"), (F.col("a") + F.col("n") - 1 + F.col("size")).alias("hi"))
+        built = open_.filter(F.col("m") <= GROUP).drop("m").repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(_built(5, lambda r: (r[0],)), SPAN)
+        levels.append((parts.select("c1", "c2", "u1", "u2"), durable(same.union(built))))
+        rows = open_.filter(F.col("m") > GROUP).select("size", "lo", "hi", F.col("u1").alias("c1"), F.col("u2").alias("c2"), "a", "n", "raw")
+    held = None
+    for links, found in reversed(levels):
+        all_ = found.toDF("u1", "u2", "size", "lo", "hi")
+        all_ = all_.union(held) if held is not None else all_
+        held = durable(links.join(all_, ["u1", "u2"]).select("c1", "c2", "size", "lo", "hi").distinct())
+    return held
+
+
+COVER = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, spans in any order -> merged spans and what is left of the bytes."""
+    """doc_id, text, spans in any order -> merged spans, what is left of the bytes, and passages."""
+    names = ["doc_id", "n_bytes", "spans", "kept", "passages"]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            merged, kept, sizes = [], [], []
+            gone, kept, sizes, passages = [], [], [], []
             for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                own: list[list[int]] = []
-                for a, b in sorted((x["from"], x["to"]) for x in spans or ()):
-                    if own and a <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], b)
-                    else:
-                        own.append([a, b])
+                own = merged([(x["lo"], x["hi"]) for x in spans or () if x["size"] == LENGTH])
+                runs = merged([(x["lo"], x["hi"]) for x in spans or ()])
                 ends = [0, *[x for ab in own for x in ab], len(raw)]
-                merged.append([{"from": a, "to": b} for a, b in own])
+                gone.append([{"from": a, "to": b} for a, b in own])
                 kept.append(b"".join([raw[a:b] for a, b in zip(ends[0::2], ends[1::2], strict=True)]))
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(merged, COVER), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
-            )
+                passages.append([{"from": a, "to": b} for a, b in runs if len(raw[a:b].split()) >= PASSAGE_WORDS])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, COVER), pa.array(kept, pa.binary()), pa.array(passages, COVER)], names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (the remaining bytes) of every row."""
-    shipped(docs.sparkSession)
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
-    long_ = base.filter(F.octet_length("t") >= LENGTH)
-    found = durable(long_.mapInArrow(_found, f"doc_id {kind}, key bigint, first bigint, stop bigint, anchor bigint, h bigint, c1 bigint, c2 bigint"))
+def _raws(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the segments in ``wanted``, each from one text."""
+    lists = durable(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c1", "c2", "first", "last", "stop", "anchor")).alias("items")))
+    keys = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    near = small(keys, lists.count(), BROADCAST_KEYS)
+    held = texts.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
+    lists = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "items")
+    both = held.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("t", "items")
+    return both.mapInArrow(_bytes_of, RAW)
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """d, k and spans (size, lo, hi) of the texts (doc_id, key, t) that hold repeated strings."""
+    spark = texts.sparkSession
+    kind = dict(texts.dtypes)["doc_id"]
+    found, at = stored(texts.mapInArrow(_found, f"doc_id {kind}, key bigint, first int, last int, stop int, anchor int, h bigint, c1 bigint, c2 bigint"))
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    members = durable(found.join(often, "h"))
+    members, own = stored(found.join(often, "h"))
+    deleted(spark, at)
     # equal segments are one, with their number and one place
-    kinds = durable(
-        members.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first", "stop", "anchor")).alias("at"))
-    )
+    kinds, of = stored(members.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first", "last", "stop", "anchor")).alias("at")))
     groups = durable(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
     wanted = kinds.join(groups, "h").select("m", "h", "c1", "c2", "at.*")
-    lists = durable(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c1", "c2", "first", "stop", "anchor")).alias("items")))
-    keys = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    near = small(keys, lists.count(), BROADCAST_KEYS)
-    texts = long_.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
-    lists = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "items")
-    held = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("t", "items")
-    raws = durable(held.mapInArrow(_bytes_of, "h bigint, c1 bigint, c2 bigint, left bigint, raw binary"))
-
-    few = raws.join(groups.filter(F.col("m") <= GROUP).select("h"), "h", "left_semi").select("h", "c1", "c2", "left", "raw")
-    built = few.repartition("h").sortWithinPartitions("h").mapInArrow(_built, "c1 bigint, c2 bigint, spans array<struct<from:bigint,to:bigint>>")
-    many = raws.join(groups.filter(F.col("m") > GROUP).select("h"), "h", "left_semi").select("h", "c1", "c2", "left", "raw")
-    windows = many.mapInArrow(_windows, "c1 bigint, c2 bigint, at bigint, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    pieces = windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))).alias("spans"))
-    spans = durable(built.union(pieces))
-
-    alone = kinds.select("c1", "c2", (F.col("n") > 1).alias("all"))
-    judged = durable(alone.join(spans, ["c1", "c2"], "left").filter(F.col("all") | (F.size("spans") > 0)))
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("from"), (F.col("stop") - F.col("first")).alias("to")))
-    cut = members.select("doc_id", "key", "first", "stop", "c1", "c2").join(judged, ["c1", "c2"])
-    cut = cut.select("doc_id", "key", "first", F.explode(F.when(F.col("all"), whole).otherwise(F.col("spans"))).alias("s"))
-    cut = cut.select("doc_id", "key", F.struct((F.col("first") + F.col("s.from")).alias("from"), (F.col("first") + F.col("s.to")).alias("to")).alias("s"))
-    by_doc = cut.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("s").alias("spans"))
+    few = _raws(texts, wanted.filter(F.col("m") <= GROUP))
+    # rows as (anchor's hash, c1, c2, first column, starts, bytes)
+    few = few.select("h", "c1", "c2", (F.lit(WIDTH - 1) - F.col("left")).cast("int").alias("a"), F.col("run").alias("n"), "raw")
+    spans = durable(few.repartition("h").sortWithinPartitions("h").mapInArrow(_built(1, lambda r: (SHORT, LENGTH)), SPAN))
+    if groups.filter(F.col("m") > GROUP).limit(1).count():
+        spans = spans.union(crowded_spans(durable(_raws(texts, wanted.filter(F.col("m") > GROUP)))))
+    listed = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("size", "lo", "hi")).alias("spans"))
+    judged = durable(kinds.select("c1", "c2", (F.col("n") > 1).alias("all")).join(listed, ["c1", "c2"], "left").filter(F.col("all") | F.col("spans").isNotNull()))
+    # all windows of a segment that occurs twice, or the found ones, as places in the text
+    size = F.col("stop") - F.col("first")
+    span = lambda n, lo, hi: F.struct(F.lit(n).alias("size"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    whole = F.filter(F.array(span(SHORT, F.col("first"), F.col("last") + SHORT), span(LENGTH, F.col("first"), F.when(size >= LENGTH, F.col("stop")))), lambda x: x["hi"].isNotNull())
+    zero = F.col("anchor") - (WIDTH - 1)
+    part = F.transform("spans", lambda x: F.struct(x["size"].alias("size"), (zero + x["lo"]).cast("int").alias("lo"), (zero + x["hi"]).cast("int").alias("hi")))
+    cut = members.join(judged, ["c1", "c2"]).select("doc_id", "key", F.explode(F.when(F.col("all"), whole).otherwise(part)).alias("s"))
+    out = durable(cut.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("s").alias("spans")))
+    deleted(spark, own, of)
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed runs of bytes), kept (the remaining bytes) and passages of every row."""
+    shipped(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    kind = dict(base.dtypes)["doc_id"]
+    by_doc = repeated_spans(base.filter(F.octet_length("t") >= SHORT))
+    weight = by_doc.agg(F.sum(F.size("spans") * 32 + 64)).first()[0] or 0
+    by_doc = F.broadcast(by_doc) if weight <= BROADCAST_BYTES else by_doc
     both = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "t", "spans")
-    return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")
+    spans = "array<struct<from:bigint,to:bigint>>"
+    return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, spans {spans}, kept binary, passages {spans}")

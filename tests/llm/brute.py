@@ -46,6 +46,22 @@ def repeats_removed(docs, size=400):
     return out
 
 
+def passages(docs, size=224, least=50):
+    raws = [(d, (t or "").encode()) for d, t in docs]
+    count = Counter(r[i : i + size] for _, r in raws for i in range(len(r) - size + 1))
+    out = []
+    for d, r in raws:
+        runs = []
+        for i in range(len(r) - size + 1):
+            if count[r[i : i + size]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + size
+                else:
+                    runs.append([i, i + size])
+        out.append((d, tuple(f"{a}:{z}" for a, z in runs if len(r[a:z].split()) >= least)))
+    return out
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

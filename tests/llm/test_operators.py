@@ -79,16 +79,37 @@ def test_token_counts(docs, empty, monkeypatch, spark, tmp_path):
         assert [(r.n_tokens, r.ended) for r in found] == [(n, True) for n in lengths] + [(3, False)]
 
 
-def test_repeats(docs, empty):
-    out = spans.remove_repeats(docs).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.repeats_removed(DOCS), key=repr)
+def repeats(df):
+    out = spans.remove_repeats(df)
+    names = ["doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)]
+    found = out.select(*names, F.transform("passages", lambda x: F.concat_ws(":", x["from"].cast("string"), x["to"].cast("string")))).collect()
+    return sorted((tuple(r)[:5] for r in found), key=repr), sorted(((r[0], tuple(r[5])) for r in found), key=repr)
+
+
+@pytest.mark.parametrize("group", [spans.GROUP, 1, 3])
+def test_repeats(docs, empty, monkeypatch, group):
+    """Whole anchors, and anchors that are split by content down to single documents."""
+    monkeypatch.setattr(spans, "GROUP", group)
+    removed, passages = repeats(docs)
+    assert removed == sorted(brute.repeats_removed(DOCS), key=repr)
+    assert passages == sorted(brute.passages(DOCS), key=repr) and any(p for _, p in passages)
     assert spans.remove_repeats(empty).count() == 0
 
 
-def test_repeats_of_crowded_anchors(docs, monkeypatch):
-    monkeypatch.setattr(spans, "GROUP", 1)
-    out = spans.remove_repeats(docs).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.repeats_removed(DOCS), key=repr)
+def test_repeats_of_crowded_anchors(spark, monkeypatch):
+    """One passage of 60 words, under 400 bytes, in many contexts; one of over 400 bytes; a text longer than a piece."""
+    monkeypatch.setattr(spans, "GROUP", 40)
+    monkeypatch.setattr(spans, "PIECE", 5000)
+    rng = random.Random(11)
+    short = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    long_ = " ".join(words(rng, 110))
+    texts = [(i, " ".join(words(rng, rng.randrange(3, 60))) + " " + (short if i % 2 else long_) + " " + " ".join(words(rng, rng.randrange(3, 60)))) for i in range(200)]
+    texts.append((1000, "\n".join([" ".join(words(rng, 3000)), long_, " ".join(words(rng, 3000)), short])))
+    texts += [(2000 + i, " ".join(words(rng, 120))) for i in range(20)]
+    removed, passages = repeats(frame(spark, texts))
+    assert removed == sorted(brute.repeats_removed(texts), key=repr)
+    assert passages == sorted(brute.passages(texts), key=repr)
+    assert all(bool(p) == (d < 2000) for d, p in passages)
 
 
 def test_columnwise_construction():
