@@ -18,8 +18,7 @@ have a string of the range in common.  Ranges are halved, so the shared columns
 built as above.  Parts are pre-aggregated by content again, which settles the inside of a common passage.
 
 Defined cases: null text is empty; texts under 400 bytes lose nothing; repeated rows count as
-separate occurrences; null ids are keys like others; an empty table gives an empty result;
-other columns are ignored.
+separate occurrences; ids are only handed on; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import shingles as S
@@ -101,24 +100,43 @@ def segments(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, .
         at = beyond
 
 
+FOUND = "k1 bigint, k2 bigint, place bigint, h bigint, c1 bigint, c2 bigint"
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "first", "last", "stop", "anchor", "h", "c1", "c2"]
+    """Rows (k1, k2, t) -> FOUND; a place packs the first start, the bytes up to the anchor, the number of starts and of bytes."""
     for batch in batches:
         for row, data, cuts in S.texts(batch.column(2)):
             raw = data.tobytes()
             for text, first, last, stop, anchor, h in segments(data, cuts):
-                seeds = (anchor - first) * 1024 + (last - first)
+                left, starts = anchor - first, last - first + 1
                 marks = np.frombuffer(
-                    b"".join([xxhash.xxh3_128_digest(raw[a:b], seed=c) for a, b, c in zip(first.tolist(), stop.tolist(), seeds.tolist(), strict=True)]), "<i8"
+                    b"".join([xxhash.xxh3_128_digest(raw[a:b], seed=c) for a, b, c in zip(first.tolist(), stop.tolist(), (left * 1024 + starts).tolist(), strict=True)]), "<i8"
                 ).reshape(-1, 2)
                 rows = pa.array(text + row)
-                begin = cuts[text]
-                places = [pa.array((x - begin).astype(np.int32)) for x in (first, last, stop, anchor)]
+                place = ((first - cuts[text]) << 26) | (left << 18) | (starts << 10) | (stop - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), *places, pa.array(h.view(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(h.view(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
+                    ["k1", "k2", "place", "h", "c1", "c2"],
                 )
 
 
+def _first() -> Column:
+    return F.shiftrightunsigned("place", 26)
+
+
+def _left() -> Column:
+    return F.shiftrightunsigned("place", 18).bitwiseAND(255).cast("int")
+
+
+def _starts() -> Column:
+    return F.shiftrightunsigned("place", 10).bitwiseAND(255).cast("int")
+
+
+def _size() -> Column:
+    return F.col("place").bitwiseAND(1023).cast("int")
+
+
 RAW = "h bigint, c1 bigint, c2 bigint, left int, run int, raw binary"
 
 
@@ -131,8 +149,10 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode()
             for x in items:
-                out.append((x["h"], x["c1"], x["c2"], x["anchor"] - x["first"], x["last"] - x["first"] + 1, raw[x["first"] : x["stop"]]))
-                size += x["stop"] - x["first"]
+                place = x["place"]
+                a, n = place >> 26, place & 1023
+                out.append((x["h"], x["c1"], x["c2"], (place >> 18) & 255, (place >> 10) & 255, raw[a : a + n]))
+                size += n
             if size > 1 << 22:
                 yield _batch(out, ["h", "c1", "c2", "left", "run", "raw"], types)
                 out, size = [], 0
@@ -315,25 +335,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _raws(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the segments in ``wanted``, each from one text."""
-    lists = durable(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "c1", "c2", "first", "last", "stop", "anchor")).alias("items")))
-    keys = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    near = small(keys, lists.count(), BROADCAST_KEYS)
-    held = texts.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
-    lists = lists.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "items")
-    both = held.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("t", "items")
-    return both.mapInArrow(_bytes_of, RAW)
+    lists = durable(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c1", "c2", "place")).alias("items")))
+    near = small(lists.select("k1", "k2"), lists.count(), BROADCAST_KEYS)
+    held = texts.join(near, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return held.join(lists, ["k1", "k2"]).select("t", "items").mapInArrow(_bytes_of, RAW)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """d, k and spans (size, lo, hi) of the texts (doc_id, key, t) that hold repeated strings."""
+    """k1, k2 and spans (size, lo, hi) of the texts (k1, k2, t) that hold repeated strings; equal texts have one row."""
     spark = texts.sparkSession
-    kind = dict(texts.dtypes)["doc_id"]
-    found, at = stored(texts.mapInArrow(_found, f"doc_id {kind}, key bigint, first int, last int, stop int, anchor int, h bigint, c1 bigint, c2 bigint"))
+    found, at = stored(texts.mapInArrow(_found, FOUND))
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     members, own = stored(found.join(often, "h"))
     deleted(spark, at)
     # equal segments are one, with their number and one place
-    kinds, of = stored(members.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first", "last", "stop", "anchor")).alias("at")))
+    kinds, of = stored(members.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at")))
     groups = durable(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"))
     wanted = kinds.join(groups, "h").select("m", "h", "c1", "c2", "at.*")
     few = _raws(texts, wanted.filter(F.col("m") <= GROUP))
@@ -345,13 +361,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     listed = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("size", "lo", "hi")).alias("spans"))
     judged = durable(kinds.select("c1", "c2", (F.col("n") > 1).alias("all")).join(listed, ["c1", "c2"], "left").filter(F.col("all") | F.col("spans").isNotNull()))
     # all windows of a segment that occurs twice, or the found ones, as places in the text
-    size = F.col("stop") - F.col("first")
-    span = lambda n, lo, hi: F.struct(F.lit(n).alias("size"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
-    whole = F.filter(F.array(span(SHORT, F.col("first"), F.col("last") + SHORT), span(LENGTH, F.col("first"), F.when(size >= LENGTH, F.col("stop")))), lambda x: x["hi"].isNotNull())
-    zero = F.col("anchor") - (WIDTH - 1)
-    part = F.transform("spans", lambda x: F.struct(x["size"].alias("size"), (zero + x["lo"]).cast("int").alias("lo"), (zero + x["hi"]).cast("int").alias("hi")))
-    cut = members.join(judged, ["c1", "c2"]).select("doc_id", "key", F.explode(F.when(F.col("all"), whole).otherwise(part)).alias("s"))
-    out = durable(cut.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("s").alias("spans")))
+    span = lambda n, lo, hi: F.struct(F.lit(n).alias("size"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    short = span(SHORT, _first(), _first() + _starts() + (SHORT - 1))
+    whole = F.when(_size() >= LENGTH, F.array(short, span(LENGTH, _first(), _first() + _size()))).otherwise(F.array(short))
+    zero = _first() + _left() - (WIDTH - 1)
+    part = F.transform("spans", lambda x: F.struct(x["size"].alias("size"), (zero + x["lo"]).alias("lo"), (zero + x["hi"]).alias("hi")))
+    cut = members.join(judged, ["c1", "c2"]).select("k1", "k2", F.explode(F.when(F.col("all"), whole).otherwise(part)).alias("s"))
+    out = durable(cut.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")))
     deleted(spark, own, of)
     return out
 
@@ -359,11 +375,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes), kept (the remaining bytes) and passages of every row."""
     shipped(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = dict(base.dtypes)["doc_id"]
-    by_doc = repeated_spans(base.filter(F.octet_length("t") >= SHORT))
-    weight = by_doc.agg(F.sum(F.size("spans") * 32 + 64)).first()[0] or 0
-    by_doc = F.broadcast(by_doc) if weight <= BROADCAST_BYTES else by_doc
-    both = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "t", "spans")
+    # a text goes by its 128-bit name
+    named = base.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), "t", "doc_id")
+    by_text = repeated_spans(named.filter(F.octet_length("t") >= SHORT).select("k1", "k2", "t"))
+    weight = by_text.agg(F.sum(F.size("spans") * 40 + 64)).first()[0] or 0
+    by_text = F.broadcast(by_text) if weight <= BROADCAST_BYTES else by_text
+    both = named.join(by_text, ["k1", "k2"], "left").select("doc_id", "t", "spans")
     spans = "array<struct<from:bigint,to:bigint>>"
     return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, spans {spans}, kept binary, passages {spans}")
