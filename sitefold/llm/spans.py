@@ -314,6 +314,15 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping spans of one length become one."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(2).to_pylist():
+            out.append([{"size": n, "lo": a, "hi": b} for n in (SHORT, LENGTH) for a, b in merged([(x["lo"], x["hi"]) for x in spans if x["size"] == n])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], ["k1", "k2", "spans"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, spans in any order -> merged spans, what is left of the bytes, and passages."""
     names = ["doc_id", "n_bytes", "spans", "kept", "passages"]
@@ -345,7 +354,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """k1, k2 and spans (size, lo, hi) of the texts (k1, k2, t) that hold repeated strings; equal texts have one row."""
     spark = texts.sparkSession
     found, at = stored(texts.mapInArrow(_found, FOUND))
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # written first, so that a hot anchor's rows can be split in the join
+    often = durable(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     members, own = stored(found.join(often, "h"))
     deleted(spark, at)
     # equal segments are one, with their number and one place
@@ -367,7 +377,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     zero = _first() + _left() - (WIDTH - 1)
     part = F.transform("spans", lambda x: F.struct(x["size"].alias("size"), (zero + x["lo"]).alias("lo"), (zero + x["hi"]).alias("hi")))
     cut = members.join(judged, ["c1", "c2"]).select("k1", "k2", F.explode(F.when(F.col("all"), whole).otherwise(part)).alias("s"))
-    out = durable(cut.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")))
+    by_text = cut.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    out = durable(by_text.mapInArrow(_joined, "k1 bigint, k2 bigint, spans array<struct<size:int,lo:bigint,hi:bigint>>"))
     deleted(spark, own, of)
     return out
 
