@@ -73,13 +73,15 @@ SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, coalesce(c, d.doc_id) AS compon
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN head ON u = d.doc_id"""
 
 
-def quality(max_symbols: float, min_lines: int, max_lines: float, host_rate: float) -> str:
+def quality(max_symbols: float, min_lines: int, max_lines: float, severe: float, spread: float) -> str:
     rate = "({r} + {m} * {s}) / (n + {s})"
 
     def prior(rule: str) -> str:
         return f"CASE WHEN {rule}_v > 0 THEN least(1000.0, greatest(1.0, {rule}_m * (1 - {rule}_m) / {rule}_v - 1)) ELSE 1000.0 END"
 
-    rates = ", ".join(f"{rate.format(r=r, m=r + '_m', s='(' + prior(r) + ')')} AS rate_{r}" for r in ("sym", "lin"))
+    rates = ", ".join(
+        f"{rate.format(r=r, m=r + '_m', s='(' + prior(r) + ')')} > {r}_m + {spread} * sqrt({r}_m * (1 - {r}_m) / (({prior(r)}) + 1)) AS habit_{r}" for r in ("sym", "lin")
+    )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_BLANK}')) AS l FROM documents),
@@ -90,10 +92,11 @@ m AS (SELECT rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coales
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
   coalesce(c, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(n_symbols > CAST({max_symbols} AS DOUBLE) * word_chars AS INT) AS sym,
-  CAST(n_dup_lines >= {min_lines} AND n_dup_lines > CAST({max_lines} AS DOUBLE) * n_lines AS INT) AS lin FROM m),
+  CAST(n_dup_lines >= {min_lines} AND n_dup_lines > CAST({max_lines} AS DOUBLE) * n_lines AS INT) AS lin,
+  n_symbols > CAST({severe * max_symbols} AS DOUBLE) * word_chars OR (n_dup_lines >= {min_lines} AND n_dup_lines > CAST({severe * max_lines} AS DOUBLE) * n_lines) AS severe FROM m),
 h AS (SELECT source, count(*) AS n, sum(sym) AS sym, sum(lin) AS lin FROM f GROUP BY source),
 p AS (SELECT avg(sym / n) AS sym_m, var_pop(sym / n) AS sym_v, avg(lin / n) AS lin_m, var_pop(lin / n) AS lin_v FROM h),
 r AS (SELECT source, {rates} FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (sym = 1 AND rate_sym >= {host_rate}) AND NOT (lin = 1 AND rate_lin >= {host_rate}) AS kept
+  NOT base_failed AND NOT severe AND NOT (sym = 1 AND habit_sym) AND NOT (lin = 1 AND habit_lin) AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""

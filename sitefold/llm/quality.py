@@ -2,8 +2,9 @@
 
 Per document the rules count words, symbols, repeated lines and repeated 3-word windows.  Failures
 of the soft rules are summed by host, each host's failure rate is shrunk towards the pool by a beta
-prior fitted to all hosts (method of moments), and the verdict is joined back: a document that
-breaks a soft rule goes if its host breaks that rule habitually.
+prior fitted to all hosts (method of moments), and the verdict is joined back: a host breaks a rule habitually if its
+shrunk rate lies above the pool's by SPREAD standard deviations of the prior.  A document that breaks a soft rule
+severely goes by itself; one that breaks it mildly goes if its host breaks that rule habitually, and stays at other hosts.
 
 Defined cases: null text has no words and fails; a null host is a host of its own; repeated rows
 are judged each; an empty table gives an empty result; other columns are ignored.
@@ -11,6 +12,8 @@ are judged each; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Soft rules: share of symbols among word characters; number and share of repeated lines.
 MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE = 0.10, 3, 0.30
-#: A host breaks a rule habitually from this shrunk rate on.
-HOST_RATE = 0.01
+#: A rule is broken severely beyond so many times its limits.
+SEVERE = 2.0
+#: How many of the prior's standard deviations a habitual host's shrunk rate lies above the pool's.
+SPREAD = 0.5
 #: Host tables of up to so many rows are broadcast; larger ones are shuffled.
 BROADCAST_HOSTS = 100_000
 #: Documents of fewer words have their windows sorted as packed integers.
@@ -112,6 +117,8 @@ def with_failures(m: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "bad_symbols": (F.col("n_symbols") > MAX_SYMBOL_SHARE * F.col("word_chars")).cast("int"),
             "bad_lines": ((F.col("n_dup_lines") >= MIN_DUP_LINES) & (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines"))).cast("int"),
+            "severe": (F.col("n_symbols") > SEVERE * MAX_SYMBOL_SHARE * F.col("word_chars"))
+            | ((F.col("n_dup_lines") >= MIN_DUP_LINES) & (F.col("n_dup_lines") > SEVERE * MAX_DUP_LINE_SHARE * F.col("n_lines"))),
         }
     )
 
@@ -120,7 +127,7 @@ SOFT = ("bad_symbols", "bad_lines")
 
 
 def host_rates(failures: DataFrame) -> DataFrame:
-    """Per host: documents, failures and the shrunk rate of each soft rule.
+    """Per host: documents, failures, the shrunk rate of each soft rule and whether the host breaks it habitually.
 
     With rates of mean m and variance v over the hosts, the prior is beta(m s, (1 - m) s) where
     s = m (1 - m) / v - 1, held between 1 and 1000.
@@ -132,15 +139,16 @@ def host_rates(failures: DataFrame) -> DataFrame:
         m, v = stats[f"m_{r}"] or 0.0, stats[f"v_{r}"] or 0.0
         s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
         out = out.withColumn(f"rate_{r}", (F.col(r) + m * s) / (F.col("n") + s))
+        out = out.withColumn(f"habit_{r}", F.col(f"rate_{r}") > m + SPREAD * math.sqrt(m * (1 - m) / (s + 1)))
     return out
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Every document with its counts, ``base_failed``, the host's shrunk rates and ``kept``."""
     failures = durable(with_failures(measures(docs, id_col, text_col, host_col)))
-    rates = host_rates(failures).select(F.col("host").alias("h"), *[f"rate_{r}" for r in SOFT])
+    rates = host_rates(failures).select(F.col("host").alias("h"), *[f"{k}_{r}" for k in ("rate", "habit") for r in SOFT])
     joined = failures.join(small(rates, rates.count(), BROADCAST_HOSTS), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     habitual = F.lit(False)
     for r in SOFT:
-        habitual = habitual | ((F.col(r) == 1) & (F.col(f"rate_{r}") >= HOST_RATE))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~habitual)
+        habitual = habitual | ((F.col(r) == 1) & F.col(f"habit_{r}"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("severe") & ~habitual)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import oracles
 from sitefold.llm.common import table
-from sitefold.llm.quality import HOST_RATE, MAX_DUP_LINE_SHARE, MAX_SYMBOL_SHARE, MIN_DUP_LINES
+from sitefold.llm.quality import MAX_DUP_LINE_SHARE, MAX_SYMBOL_SHARE, MIN_DUP_LINES, SEVERE, SPREAD
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +118,5 @@ ORACLES = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_minhash_neardup": oracles.NEAR_DUPLICATES,
-    "op10_quality_rules": oracles.quality(MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE, HOST_RATE),
+    "op10_quality_rules": oracles.quality(MAX_SYMBOL_SHARE, MIN_DUP_LINES, MAX_DUP_LINE_SHARE, SEVERE, SPREAD),
 }
