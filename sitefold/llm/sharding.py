@@ -3,10 +3,11 @@
 A size-weighted sample of keys gives quantile boundaries for fine ranges, records are
 range-partitioned by them, ranges that came out overfull are subdivided, and runs of neighbouring
 ranges become shards by their exact bytes.  The key is (hash of text, hash of id), so equal texts
-lie side by side; a group of copies stays whole unless it is larger than a fine range.
+lie side by side; a group of copies stays whole unless it is larger than a fine range: then it is dealt by its ids, and
+if rows of one id and text are repeated, by a serial number that each row gets when the records are written.
 
 Defined cases: a null text has no bytes and weighs 8, its checksum is 0; a null id is an ordinary
-key; repeated rows are records of their own, their slots are interchangeable; an empty table
+key; repeated rows are records of their own, dealt like others, their slots are interchangeable; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -78,29 +79,35 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
             F.crc32(t.cast("binary")).alias("text_crc32"),
             F.xxhash64(t).alias("k"),
             F.xxhash64("doc_id").alias("k2"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("serial"),
         )
     )
     total = records.agg(F.sum("size")).first()[0] or 0
     ranges = shards * RANGES_PER_SHARD
     placed = durable(_in_ranges(records, splitters(records, ranges, total)))
     limit = OVERFULL * total / ranges
-    stats = placed.groupBy("r").agg(F.sum("size").alias("b"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    full = stats.filter(F.col("b") > limit).select("r", F.ceil(F.col("b") / max(limit / OVERFULL, 1e-9)).alias("m"), (F.col("lo") == F.col("hi")).alias("one"))
+    mean = max(limit / OVERFULL, 1e-9)
+    # texts that alone overfill a range are divided by themselves: fewer than `ranges` rows
+    texts = placed.groupBy("k", "k2").agg(F.sum("size").alias("b"), F.count("*").alias("n")).groupBy("k").agg(F.sum("b").alias("b"), F.max("n").alias("n"))
+    hot = texts.filter(F.col("b") > limit).select("k", F.ceil(F.col("b") / mean).alias("pieces"), (F.col("n") > 1).alias("twins"))
+    stats = placed.groupBy("r").agg(F.sum("size").alias("b"))
     # at most half of the ranges can be overfull, so this side is bounded by their fixed number
-    divided = placed.join(F.broadcast(full), "r", "left").withColumn(
-        "sub",
-        F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.when(F.col("one"), F.xxhash64("k2")).otherwise(F.xxhash64("k")), F.col("m"))),
-    )
-    divided = divided.drop("m", "one")
-    order = Window.orderBy("r", "sub")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    mine = divided.groupBy("r", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    full = stats.filter(F.col("b") > limit).select("r", F.ceil(F.col("b") / mean).alias("m"))
+    divided = placed.join(F.broadcast(full), "r", "left").join(F.broadcast(hot), "k", "left")
+    within = F.when(F.col("twins"), F.xxhash64("k2", "serial")).otherwise(F.xxhash64("k2"))
+    divided = divided.withColumns(
+        {
+            "sub": F.when(F.col("m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("k"), F.col("m"))),
+            "piece": F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(within, F.col("pieces"))),
+        }
+    ).drop("m", "pieces", "twins")
+    keys = ["r", "sub", "piece"]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    mine = divided.groupBy(*keys).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     middle = F.coalesce(F.sum("b").over(before), F.lit(0)) + F.col("b") / 2
     mine = mine.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1)).cast("int")))
-    mine = mine.withColumn(
-        "first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("r", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    # at most three rows a fine range: a fixed number, whatever the input
-    out = divided.join(F.broadcast(mine.select("r", "sub", "shard", "first")), ["r", "sub"])
-    place = F.row_number().over(Window.partitionBy("r", "sub").orderBy("k", "k2", "doc_id", "size"))
+    mine = mine.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a few rows a fine range: a fixed number, whatever the input
+    out = divided.join(F.broadcast(mine.select(*keys, "shard", "first")), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("k", "k2", "doc_id", "serial"))
     return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("first") + place - 1).cast("long").alias("slot"))

@@ -222,6 +222,20 @@ def test_sharding(spark, docs, empty):
     assert len(loads) == 24 and max(loads) < 1.05 * min(loads)
 
 
+def test_equal_rows_are_dealt(spark):
+    """A third of all rows have no id and one text: sizes stay near equal, slots gapless, texts whole otherwise."""
+    rng = random.Random(4)
+    texts = [(None, "the same text in all of these rows") for _ in range(20_000)] + [(i, "x" * rng.randrange(1, 60) + str(i // 2)) for i in range(40_000)] + [(None, None)] * 50
+    out = sharding.shard(frame(spark, texts), 24).collect()
+    assert len(out) == len(texts)
+    sizes, slots = {}, {}
+    for r in out:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(sizes) == 24 and max(sizes.values()) < 1.03 * min(sizes.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_bpe_against_the_library(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -303,14 +317,18 @@ def test_quality(docs, empty):
 
 
 def test_quality_hosts(spark):
+    """A mild failure goes at a host that fails often and stays at one that does not; a severe one goes anywhere."""
     rng = random.Random(2)
     rows_ = []
-    for i in range(400):
+    for i in range(600):
         w = words(rng, 60)
-        bad = i % 4 == 0 or i == 1
-        rows_.append((i, " ".join(x + "###" if bad else x for x in w), "noisy" if i % 4 == 0 else "calm"))
+        host = f"host{i % 6}"
+        mild, severe = (i % 6 == 0 and i % 4 == 0) or i in (1, 2), i == 7
+        marked = [x + "###" if severe else x + "#" if mild and k % 3 else x for k, x in enumerate(w)]
+        rows_.append((i, " ".join(marked), host))
     out = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()}
-    assert not any(out[i] for i in range(0, 400, 4)) and all(out[i] for i in range(400) if i % 4)
+    assert not any(out[i] for i in range(0, 600, 12)) and not out[7]
+    assert all(out[i] for i in range(600) if i % 12 and i != 7)
 
 
 def test_long_documents_count_repeats(spark, monkeypatch):
