@@ -1,4 +1,4 @@
-"""Word shingles and MinHash bands of texts, vectorised over Arrow buffers."""
+"""Word shingles and MinHash signatures of texts, vectorised over Arrow buffers."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ BASE = U64(0x9E3779B97F4A7C15)
 #: Shingle length in words, and the multipliers that set the places of a shingle's words apart.
 WORDS = 5
 PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-#: Bands of coordinates: a band's key is posted, and two sets meet if all its coordinates agree.
-BANDS, ROWS = 40, 3
-MASK = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U64)
-MULT = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Coordinates of a MinHash signature.
+COORDINATES = 48
+MASK = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
+MULT = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -75,17 +75,13 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(total + U64(width)))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys of the bands: each hashes ROWS coordinates of the MinHash signature and the band's number."""
-    least = np.full(BANDS * ROWS, np.iinfo(U64).max, U64)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A set's coordinate-value pairs, each as one number: the least value under a coordinate's hash, and the coordinate."""
+    least = np.full(COORDINATES, np.iinfo(U64).max, U64)
     for at in range(0, len(shingles), 512):
         part = (shingles[None, at : at + 512] ^ MASK[:, None]) * MULT[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    least = mix(least).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=U64)
-    for r in range(ROWS):
-        key = mix(key * BASE + least[:, r])
-    return key
+    return mix(mix(least) + np.arange(COORDINATES, dtype=U64) * BASE)
 
 
 def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,6 +107,14 @@ def sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield shingle_hashes(words[before[i] : before[i + 1]])
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set of shingles."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def names(sets_: list[np.ndarray]) -> pa.Array:
+    """126-bit names of sets of shingles; null for empty ones."""
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets_]), np.uint8).reshape(-1, 16).copy()
+    raw[:, 15] &= 0x3F  # so that they fit into 38 digits
+    full = np.array([len(x) > 0 for x in sets_], bool)
+    valid = pa.py_buffer(np.packbits(full, bitorder="little").tobytes())
+    return pa.Array.from_buffers(NAME, len(sets_), [valid, pa.py_buffer(raw.tobytes())])
+
+
+#: Names of sets, in Arrow and in SQL.
+NAME, NAME_SQL = pa.decimal128(38, 0), "decimal(38,0)"

@@ -200,10 +200,26 @@ SYL = words(random.Random(2), 200)
 
 
 def test_tiles_and_bounds():
-    a, b, c = np.arange(20), np.arange(1, 21), np.arange(100, 120)
-    assert neardup.tile_links([a, b, c], [1, 2, 3], [0, 0, 0], False, 85) == [(0, 1)]
-    assert neardup.tile_links([a, b, c], [1, 2, 3], [0, 0, 1], True, 85) == []
-    assert neardup.matches_for(85) > neardup.matches_for(80) >= 1 and neardup.bands_for(85) < neardup.bands_for(80) <= 40
+    a, b, c = (np.arange(x, x + 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (0, 1, 100))
+    sets = [np.sort(x) for x in (a, b, c)]
+    sigs = np.array([neardup.S.signature(x).view("int64") for x in sets])
+    assert neardup.tile_links(sets, sigs, [1, 2, 3], [0, 0, 0], False, 85) == [(0, 1)]
+    assert neardup.tile_links(sets, sigs, [1, 1, 3], [0, 0, 0], False, 85) == []
+    assert neardup.tile_links(sets, sigs, [1, 2, 3], [0, 0, 1], True, 85) == []
+    assert not neardup.similar(sets[0], sets[0][:25], 85) and neardup.similar(sets[0], sets[0][:26], 85)
+    assert neardup.S.COORDINATES > neardup.matches_for(85) > neardup.matches_for(80) >= 1
+
+
+def test_collisions_follow_similarity():
+    """Pairs at the threshold agree on enough coordinates: recall against all pairs."""
+    rng = np.random.default_rng(7)
+    enough, met = neardup.matches_for(85), 0
+    for _ in range(400):
+        pool = rng.integers(1, 1 << 62, 108, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(pool[:100]), np.unique(pool[8:])
+        assert neardup.similar(a, b, 85)
+        met += int((neardup.S.signature(a) == neardup.S.signature(b)).sum() >= enough)
+    assert met == 400
 
 
 def test_sharding(spark, docs, empty):
