@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of ``documents``.
+
+Defined cases, in every stage: null and repeated ids are no reason to go, a verdict holds for an id with its text; null and empty
+texts go in the first stage, as they have no letter; repeated rows are kept until near-dedup, where one stays; further columns
+travel along, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from sitefold.llm.common import durable, shared_folder, small
 from sitefold.llm.decontam import decontaminate
 from sitefold.llm.langid import identify
 from sitefold.llm.neardup import near_duplicates
-from sitefold.llm.quality import SPACE
 from sitefold.llm.templates import drop_templates
 
 #: Lists of ids are broadcast up to so many rows.
@@ -37,26 +40,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select("row.*").withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
+def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of docs whose id and text are not in (doc_id, key), the rows of a written table."""
+    side = small(gone, gone.count(), BROADCAST_IDS)
+    same = docs["doc_id"].eqNullSafe(side["doc_id"]) & (F.xxhash64(docs["text"]) == side["key"])
+    return docs.join(side, same, how)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the text with the smallest id stays; without any id, one row of the smallest text hash.
+    """Of each component one row stays: of the smallest id, or if no row has one, of the smallest text hash.
 
-    Rows with the same id and text are told apart by nothing and stay, unless they have no id.
+    Rows are told apart by id and text, so other texts under the same id or without one are not touched; of rows that repeat both one
+    stays.  Texts without a word are no copies of anything and stay, repeated or not.
     """
-    found = near_duplicates(docs, percent=SIMILAR, by_row=True)
-    extra = durable(found.filter("extra").select(F.col("doc_id").alias("other"), F.col("key").alias("mark")).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("other")) & (F.xxhash64(docs["text"]) == F.col("mark"))
-    rest = docs.join(small(extra, extra.count(), BROADCAST_IDS), same, "left_anti")
-    # texts without a word are no copies
-    bare = F.col("doc_id").isNull() & F.coalesce(F.btrim("text", F.lit(SPACE)) != "", F.lit(False))
-    return rest.filter(~bare).unionByName(rest.filter(bare).dropDuplicates(["text"]))
+    found = durable(near_duplicates(docs, percent=SIMILAR, by_row=True))
+    extra = durable(found.filter("extra").select("doc_id", "key").distinct())
+    twins = durable(found.filter("worded and not extra").groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key"))
+    rest = _without(docs, extra)
+    again = _without(rest, twins, "left_semi")
+    return _without(rest, twins).unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; rows are told apart by id and text."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = durable(found.filter("contaminated").select(F.col("doc_id").alias("other"), F.col("key").alias("mark")).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("other")) & (F.xxhash64(docs["text"]) == F.col("mark"))
-    return docs.join(small(hit, hit.count(), BROADCAST_IDS), same, "left_anti")
+    return _without(docs, durable(found.filter("contaminated").select("doc_id", "key").distinct()))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
