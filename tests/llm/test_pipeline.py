@@ -35,7 +35,9 @@ def test_stages(spark, tmp_path):
             cut = dict(brute.kept_lines(before))
             assert after == sorted(((d, cut[d]) for d, t in before if cut[d] == t or (cut[d] or "").strip(" ")), key=repr)
         elif name == "near_dedup":
-            assert after == sorted(((d, t) for (d, t), (_, _, c) in zip(before, brute.near_duplicates(before, corpus_pipeline.SIMILAR), strict=True) if d == c), key=repr)
+            heads = [(d, t, n) for (d, t), (_, n, c) in zip(before, brute.near_duplicates(before, corpus_pipeline.SIMILAR), strict=True) if d == c]
+            # rows that repeat an id and a text with words are copies too
+            assert after == sorted([*{(d, t) for d, t, n in heads if n}, *[(d, t) for d, t, n in heads if not n]], key=repr)
         elif name == "decontamination":
             hit = {r[0] for r in brute.decontaminated(before, items) if r[-1]}
             assert hit and after == [(d, t) for d, t in before if d not in hit]
