@@ -19,22 +19,24 @@ met AS (SELECT rid, count(*) AS k, string_agg(item, ',' ORDER BY item) AS s FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(c, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN met USING (rid)"""
 
-#: Template tree: leaves of 10 documents or more, templates that hold on half of the lines, lines alike on 0.7 of the tokens.
+#: Template tree: leaves and templates of 10 distinct texts or more, constants shared by a fifth of a leaf's distinct lines, templates of 0.7 constants.
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-ln AS (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d),
-tk AS (SELECT doc_id, i, l[i + 1] AS x, CASE WHEN i > 0 THEN l[i] END AS prev, l[i + 2] AS nxt,
-  list_transform(regexp_split_to_array(trim(l[i + 1], ' '), '\s+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS k FROM ln),
-lf AS (SELECT *, len(k) AS n, k[1:3] AS lead FROM tk WHERE len(k) >= 3),
-hot AS (SELECT n, lead FROM lf GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
-seen AS (SELECT lf.* FROM lf JOIN hot USING (n, lead)),
-place AS (SELECT n, lead, p, k[p] AS w, count(*) AS c FROM (SELECT n, lead, k, unnest(range(1, n + 1)) AS p FROM (SELECT DISTINCT n, lead, k FROM seen)) GROUP BY ALL),
-top AS (SELECT n, lead, p, w, c, sum(c) OVER (PARTITION BY n, lead, p) AS al FROM place QUALIFY row_number() OVER (PARTITION BY n, lead, p ORDER BY c DESC, w DESC) = 1),
-tpl AS (SELECT n, lead, list(CASE WHEN 2 * c >= al THEN w ELSE '<*>' END ORDER BY p) AS t FROM top GROUP BY ALL),
-nm AS (SELECT doc_id, i, prev, nxt, CASE WHEN len(list_filter(range(1, n + 1), lambda p: k[p] = t[p])) >= 0.7 * n THEN t ELSE k END AS g FROM seen JOIN tpl USING (n, lead)),
-grp AS (SELECT g, min(doc_id) AS first_doc FROM nm GROUP BY g
-  HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT {'a': prev, 'b': nxt}) >= 10 AND 2 * count(DISTINCT {'a': prev, 'b': nxt}) >= count(DISTINCT doc_id)),
-gone AS (SELECT doc_id, list(i) AS g FROM nm JOIN grp USING (g) WHERE doc_id <> first_doc GROUP BY doc_id)
+ln AS (SELECT doc_id, text, l, unnest(range(0, len(l))) AS i FROM d),
+sp AS (SELECT doc_id, text, i, list_filter(regexp_split_to_array(trim(l[i + 1], ' '), '\s+'), lambda w: w <> '') AS s FROM ln),
+lf AS (SELECT doc_id, text, i, len(s) AS n, CASE WHEN len(s) < 3 THEN s ELSE list_transform(s, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) END AS k FROM sp WHERE len(s) > 0),
+tk AS (SELECT *, k[1:3] AS lead FROM lf),
+hot AS (SELECT n, lead FROM tk GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+seen AS (SELECT tk.* FROM tk JOIN hot USING (n, lead)),
+dl AS (SELECT DISTINCT n, lead, k FROM seen),
+al AS (SELECT n, lead, count(*) AS al FROM dl GROUP BY ALL),
+place AS (SELECT n, lead, p, k[p] AS w, count(*) AS c FROM (SELECT n, lead, k, unnest(range(1, n + 1)) AS p FROM dl) GROUP BY ALL),
+pos AS (SELECT n, lead, k, p, k[p] AS w FROM (SELECT n, lead, k, unnest(range(1, n + 1)) AS p FROM dl)),
+gen AS (SELECT pos.n, pos.lead, pos.k, list(CASE WHEN c > 1 AND 5 * c >= al THEN pos.w ELSE '<*>' END ORDER BY pos.p) AS t, sum(CASE WHEN c > 1 AND 5 * c >= al THEN 1 ELSE 0 END) AS held
+  FROM pos JOIN place USING (n, lead, p, w) JOIN al USING (n, lead) GROUP BY pos.n, pos.lead, pos.k),
+nm AS (SELECT doc_id, text, i, array_to_string(CASE WHEN n >= 3 AND held >= 0.7 * n THEN t ELSE k END, ' ') AS g FROM seen JOIN gen USING (n, lead, k)),
+grp AS (SELECT g, arg_min(text, doc_id) AS first_text FROM nm GROUP BY g HAVING count(DISTINCT text) >= 10),
+gone AS (SELECT doc_id, list(i) AS g FROM nm JOIN grp USING (g) WHERE text <> first_text GROUP BY doc_id)
 SELECT doc_id, CASE WHEN gone.g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: NOT list_contains(gone.g, i)), lambda i: l[i + 1]), chr(10)) END AS text,
   CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_dropped
 FROM d LEFT JOIN gone USING (doc_id)"""

@@ -121,41 +121,36 @@ def quality(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w))
 
 
-def kept_lines(docs, depth=3, min_tokens=3, min_docs=10, similar=0.7):
+def kept_lines(docs, depth=3, min_tokens=3, min_docs=10, similar=0.7, frequent=5):
     """(doc, text) -> remaining text, by the template tree as its docstring tells it."""
-    keys = [(d, t) for d, t in docs]
+    order = lambda k: (k[0] is not None, k[0] or 0)
     lines = []
-    for key in sorted(set(keys), key=lambda k: (k[0] is not None, k[0] if k[0] is not None else 0, k[1] or "")):
-        rows = (key[1] or "").split("\n") if key[1] is not None else []
-        for i, x in enumerate(rows):
-            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in re.split(r"\s+", x.strip(" ")))
+    for key in set(docs):
+        for i, x in enumerate(key[1].split("\n") if key[1] is not None else []):
+            tokens = tuple(w for w in re.split(r"\s+", x.strip(" ")) if w)
             if len(tokens) >= min_tokens:
-                around = (rows[i - 1] if i else None, rows[i + 1] if i + 1 < len(rows) else None)
-                lines.append((key, i, (len(tokens), tokens[:depth]), tokens, around))
-    leaf_docs = defaultdict(set)
-    for key, _, leaf, _, _ in lines:
-        leaf_docs[leaf].add(key)
-    lines = [x for x in lines if len(leaf_docs[x[2]]) >= min_docs]
+                tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in tokens)
+            if tokens:
+                lines.append((key, i, (len(tokens), tokens[:depth]), tokens))
     members = defaultdict(set)
-    for _, _, leaf, tokens, _ in lines:
+    for _, _, leaf, tokens in lines:
         members[leaf].add(tokens)
-    template = {}
+    templates = {}
     for leaf, own in members.items():
-        made = []
-        for p in range(leaf[0]):
-            n, token = max((c, w) for w, c in Counter(t[p] for t in own).items())
-            made.append(token if 2 * n >= len(own) else "<*>")
-        template[leaf] = tuple(made)
+        counts = [Counter(t[p] for t in own) for p in range(leaf[0])]
+        for t in own:
+            held = [counts[p][w] > 1 and frequent * counts[p][w] >= len(own) for p, w in enumerate(t)]
+            general = len(t) >= min_tokens and sum(held) >= similar * len(t)
+            templates[t] = " ".join(w if h or not general else "<*>" for w, h in zip(t, held))
     groups = defaultdict(list)
-    for key, i, leaf, tokens, around in lines:
-        alike = sum(a == b for a, b in zip(tokens, template[leaf]))
-        groups[template[leaf] if alike >= similar * len(tokens) else tokens].append((key, i, around))
+    for key, i, _, tokens in lines:
+        groups[templates[tokens]].append((key, i))
     gone = defaultdict(set)
     for own in groups.values():
-        holders, arounds = {k for k, _, _ in own}, {a for _, _, a in own}
-        if len(holders) >= min_docs and len(arounds) >= min_docs and 2 * len(arounds) >= len(holders):
-            first = min((k[0] for k in holders), key=lambda x: (x is not None, x))  # nulls come first
-            for key, i, _ in own:
-                if key[0] != first:
+        texts = {k[1] for k, _ in own}
+        if len(texts) >= min_docs:
+            first = min((k for k, _ in own), key=order)[1]
+            for key, i in own:
+                if key[1] != first:
                     gone[key].add(i)
     return [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t])) for d, t in docs]

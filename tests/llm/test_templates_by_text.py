@@ -34,7 +34,7 @@ def test_copies_stay_whole(spark):
     out = rest(spark, docs)
     assert all(out[i] == docs[0][1] for i in range(5)) and all(out[10 + i] == body[i + 1] for i in range(15))
     alone = [(i, f"{body[0]}\n{line}") for i in range(40)]
-    assert templates.drop_templates(frame(spark, alone), by_text=True).filter("n_dropped > 0").count() == 0
+    assert templates.drop_templates(frame(spark, alone)).filter("n_dropped > 0").count() == 0
 
 
 def test_short_and_unspaced_lines(spark):
