@@ -67,6 +67,7 @@ class Bpe:
         self.ranks = PairTable(self.rank)
         self.made_ids = np.array([*self.made, 0], np.int64)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.byte_tables: dict[bool, list[bytes]] = {}
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("|".join(regex.escape(m) for m in marks)) if marks else None
         self.known: dict[str, bytes] = {}
@@ -298,23 +299,52 @@ class Bpe:
         return raw, self.decode(unpacked(raw))
 
     def decode(self, ids: list[int]) -> str:
-        """As the library decodes where a file names no decoder: the tokens with blanks between them."""
-        names = self.names
-        return " ".join([names[i] for i in ids])
-
-    def readable(self, ids: Iterator[int]) -> Iterator[str]:
-        """The text that the tokens spell, piece by piece: bytes that end within a character wait for its rest."""
-        back = {c: b for b, c in self.symbols.items()}
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.names[i]
-            if i in self.special.values():
-                yield state.decode(b"", True) + name
-                state.reset()
-                continue
-            ended = bool(self.suffix) and name.endswith(self.suffix)
-            yield state.decode(bytes(back[c] for c in (name[: -len(self.suffix)] if ended else name))) + (" " if ended else "")
-        yield state.decode(b"", True)
+        """As the library decodes where a file names no decoder: the tokens as they are named, with blanks between them."""
+        return "".join(self.decoder(False).run(ids))[1:]
+
+    def plain(self, ids: list[int]) -> str:
+        """The text that the tokens spell, with a blank after each word."""
+        return "".join(self.decoder(True).run(ids))
+
+    def decoder(self, spelled: bool) -> Decoder:
+        """A state machine over the bytes of the tokens' names, or of what they spell."""
+        if spelled not in self.byte_tables:
+            back = {c: b for b, c in self.symbols.items()}
+            own = set(self.special.values())
+
+            def bytes_of(i: int, name: str) -> bytes:
+                if not spelled:
+                    return b" " + name.encode()
+                if i in own:
+                    return name.encode()
+                ended = bool(self.suffix) and name.endswith(self.suffix)
+                return bytes(back[c] for c in (name[: -len(self.suffix)] if ended else name)) + b" " * ended
+
+            self.byte_tables[spelled] = [bytes_of(i, self.names.get(i, "")) for i in range(max(self.names) + 1)]
+        return Decoder(self.byte_tables[spelled])
+
+
+class Decoder:
+    """An incremental byte-to-text machine: tokens go in, text comes out; its state is the bytes of a character that has not ended."""
+
+    #: Tokens that are turned into bytes at once.
+    STEP = 1 << 14
+
+    def __init__(self, table: list[bytes]) -> None:
+        self.table = table
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        table = self.table
+        return self.state.decode(b"".join([table[i] for i in ids]))
+
+    def end(self) -> str:
+        return self.state.decode(b"", True)
+
+    def run(self, ids: list[int]) -> Iterator[str]:
+        for at in range(0, len(ids), self.STEP):
+            yield self.feed(ids[at : at + self.STEP])
+        yield self.end()
 
 
 class PairTable:
@@ -368,7 +398,7 @@ def loaded(source: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) and decoded of every row; ``path`` names the tokenizer file on the driver."""
+    """doc_id, ids (little-endian unsigned 32-bit integers), decoded (the tokens' names) and plain (what they spell) of every row; ``path`` names the tokenizer file on the driver."""
     shipped(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -380,9 +410,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(found, pa.binary()), pa.array([bpe.decode(unpacked(x)) for x in found], pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+                lists = [unpacked(x) for x in found]
+                shown, plain = pa.array([bpe.decode(x) for x in lists], pa.string()), pa.array([bpe.plain(x) for x in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), shown, plain], ["doc_id", "ids", "decoded", "plain"])
 
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, ids binary, decoded string")
+    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, ids binary, decoded string, plain string")
