@@ -5,7 +5,8 @@ over the counted vote patterns estimates how reliable each labeler is; a logisti
 is fitted to the resulting posteriors and decides on the spans that the exact base rules leave out.
 Base spans always stay.
 
-Only the table of vote patterns (at most kinds x 3^6 rows, whatever the input) reaches the driver.
+The classifier sees the votes and the span itself (length, digits, letters, the mark before it), so it can tell spans apart that
+have the same votes.  Only the table of patterns of votes and features (a fixed number at most, whatever the input) reaches the driver.
 Contexts reach back to the last match of the same pattern, 30 characters at most.
 
 Defined cases: null text reads as empty and has no spans; repeated rows give a row each; an empty
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ PATTERNS = (
     ("phone", "phone", True, "+", r"\+[0-9][ ().0-9-]+[0-9]"),
     ("hidden", "email", False, "at", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++"),
     ("local", "phone", False, None, r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("secret", "secret", False, None, r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])"),
+    ("secret", "secret", False, None, r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"),
 )
 #: Words before a span that speak for its kind, and words that speak against any.
 FOR = {
@@ -43,7 +45,18 @@ FOR = {
     "secret": "token|passw|secret|key|auth|akia",
 }
 AGAINST = "isbn|version|order|invoice|serial|sku"
-LABELERS = ("rule", "words_for", "words_against", "edges", "prefix", "shape")
+#: Fixed values, gazetteers: endings of mail domains, first digits of card numbers, country calling codes, first characters of
+#: well-known keys, and address ranges that are reserved.
+GAZETTEERS = {
+    "email": r"[.\])\x20](?i:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|us|uk|de|fr|es|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ie|cz|ru|ua|gr|tr|cn|jp|kr|in|au|nz|ca|br|mx|ar|cl|za|il|eu)$",
+    "ip": r"^(?:10\.|127\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|30[0-5]|36|38|35|6011|65|64[4-9]|62)",
+    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-8]|35[1-9]|37[0-9]|38[0-9]|42[013]|85[2356]|88[06]|96[0-8]|97[1-7])",
+    "secret": r"^(?:AKIA|ASIA|ghp|gho|glpat|xox|sk|pk|rk|AIza|eyJ)",
+}
+LABELERS = ("rule", "words_for", "words_against", "edges", "prefix", "shape", "listed")
+#: What the classifier sees of a span itself besides the votes: its length, its share of digits, whether it has capitals and small letters, whether it follows a mark.
+FEATURES = ("long_", "digits_", "mixed", "marked")
 BACK = 30
 
 
@@ -120,6 +133,17 @@ def _votes() -> dict[str, Column]:
                 "secret": maybe(F.length(m).isin(18, 20, 24, 32, 40, 64)),
             }
         ),
+        "listed": by_kind({k: maybe(m.rlike(v)) for k, v in GAZETTEERS.items()}),
+    }
+
+
+def _span_features() -> dict[str, Column]:
+    m, count = F.col("m"), F.length("digits")
+    return {
+        "long_": F.when(F.length(m) < 16, 0).when(F.length(m) < 32, 1).otherwise(2),
+        "digits_": F.when(4 * count < F.length(m), 0).when(2 * count < F.length(m), 1).otherwise(2),
+        "mixed": (m.rlike("[A-Z]") & m.rlike("[a-z]")).cast("int"),
+        "marked": F.col("left").rlike(r"[:=#(\x22'] ?$").cast("int"),
     }
 
 
@@ -150,29 +174,28 @@ def reliabilities(patterns: list[dict], rounds: int = 60) -> tuple[list[float],
     return post, rates
 
 
+#: Cells of the classifier: (column, value).
+CELLS = (*[("kind", k) for k in KINDS], *[(j, v) for j in LABELERS for v in (1, -1)], *[(f, v) for f in FEATURES for v in (1, 2)])
+
+
 def _features(p: dict) -> list[float]:
-    return [1.0, *[float(p["kind"] == k) for k in KINDS], *[float(p[j] == v) for j in LABELERS for v in (1, -1)]]
+    return [1.0, *[float(p.get(c) == v) for c, v in CELLS]]
 
 
 def classifier(patterns: list[dict], post: list[float], steps: int = 400) -> list[float]:
-    """Logistic regression on the posteriors, weighted by the logarithm of the counts."""
-    rows = [(_features(p), q, math.log1p(p["n"])) for p, q in zip(patterns, post, strict=True)]
-    weights = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS))
-    total = sum(n for *_, n in rows) or 1.0
+    """Logistic regression on the posteriors, weighted by the logarithm of the counts; a small table on the driver."""
+    x = np.array([_features(p) for p in patterns]).reshape(len(patterns), 1 + len(CELLS))
+    n = np.log1p([p["n"] for p in patterns])
+    share, weights = n / (n.sum() or 1.0), np.zeros(1 + len(CELLS))
     for _ in range(steps):
-        slope = [0.002 * w for w in weights]
-        for x, q, n in rows:
-            gap = n / total * (1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True)))) - q)
-            for i, v in enumerate(x):
-                slope[i] += gap * v
-        weights = [w - 2.0 * s for w, s in zip(weights, slope, strict=True)]
-    return weights
+        gap = share * (1 / (1 + np.exp(-(x @ weights))) - np.array(post))
+        weights = weights - 2.0 * (gap @ x + 0.002 * weights)
+    return weights.tolist()
 
 
 def _score(weights: list[float]) -> Column:
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    cells = [F.lit(1.0), *[one(F.col("kind") == k) for k in KINDS], *[one(F.col(j) == v) for j in LABELERS for v in (1, -1)]]
-    return sum((c * w for c, w in zip(cells[1:], weights[1:], strict=True)), F.lit(weights[0]))
+    return sum((one(F.col(c) == v) * w for (c, v), w in zip(CELLS, weights[1:], strict=True)), F.lit(weights[0]))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,8 +223,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .when(F.col("pattern") == "phone", F.length("digits").between(9, 15))
         .otherwise(False)
     )
-    voted = durable(placed.withColumn("base", passes).withColumns(_votes()).drop("gap", "i", "left", "right", "digits", "m"))
-    counted = [r.asDict() for r in voted.filter("pattern is not null").groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS).collect()]
+    voted = durable(placed.withColumn("base", passes).withColumns(_votes() | _span_features()).drop("gap", "i", "left", "right", "digits", "m"))
+    counted = [r.asDict() for r in voted.filter("pattern is not null").groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS, *FEATURES).collect()]
     post, _ = reliabilities(counted)
     score = _score(classifier(counted, post))
     # a further span must win the vote and be clear of every base span of its text

@@ -55,7 +55,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = find_personal_data(table(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 
@@ -84,6 +84,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("plain", 256).alias("plain_sha256"),
     )
 
 

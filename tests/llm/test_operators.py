@@ -60,6 +60,20 @@ def test_copies_keep_their_lines(spark):
     assert templates.drop_templates(frame(spark, copies)).filter("n_dropped > 0").count() == 0
 
 
+def test_templates_of_a_leaf(spark):
+    """Two equally common templates under the same three tokens, a block of lines, short lines, an unspaced line and a very long line."""
+    rng = random.Random(15)
+    rest = [" ".join(words(rng, 7)) for _ in range(2)]
+    long_ = " ".join(words(rng, 4000))
+    texts = []
+    for i in range(60):
+        own = " ".join(words(rng, 12))
+        texts.append((i, "\n".join([f"all of this {rest[i % 2].replace(' ', ' ' + words(rng, 1)[0] + 'x ', 1)}", own, "Share this", "全部保留", long_, f"page {i} end"])))
+    out = {r.doc_id: r for r in templates.drop_templates(frame(spark, texts)).select("row.doc_id", "row.text", "n_dropped").collect()}
+    assert sorted((d, r.text) for d, r in out.items()) == sorted(brute.kept_lines(texts))
+    assert sum(r.n_dropped == 5 for r in out.values()) == 58 and out[0].n_dropped == 0 and out[1].n_dropped == 4
+
+
 def test_token_counts(docs, empty, monkeypatch, spark, tmp_path):
     path, eod = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
     code = tokens.encoding(open(path, "rb").read(), public_tokenizers.PATTERN)
@@ -282,7 +296,12 @@ def test_bpe_streams():
         raw, decoded = own.encode(t)
         assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == ids, t
         assert decoded == library.decode(ids, skip_special_tokens=False) == own.decode(ids)
-    assert "".join(own.readable(iter(library.encode("Héllo 漢字 😀", add_special_tokens=False).ids))) == "héllo 漢字 😀 "
+    ids = library.encode("Héllo 漢字 😀<|endoftext|>", add_special_tokens=False).ids
+    assert own.plain(ids) == "héllo 漢字 😀 <|endoftext|>"
+    # fed token by token, the machine holds back the bytes of a character until it ends
+    machine = own.decoder(True)
+    assert "".join([*[machine.feed([i]) for i in ids], machine.end()]) == own.plain(ids)
+    assert own.decoder(True).feed(ids[:0]) == "" and own.plain([]) == own.decode([]) == ""
     # no symbol waits for the end of the word: tokens come while the word goes on
     seen = []
 
