@@ -46,7 +46,7 @@ def fragment_lengths(sites: DataFrame, grouping: str | None = None, replicates:
 
 
 def estimated_lengths(
-    sites: DataFrame, grouping: str | None = None, replicates: str | None = None, rounds: int = 200, tolerance: float = 1e-5
+    sites: DataFrame, grouping: str | None = None, replicates: str | None = None, rounds: int = 20, tolerance: float = 1e-9
 ) -> DataFrame:
     """Expected numbers of fragments, by expectation-maximisation (Berry et al., 2012).
 
