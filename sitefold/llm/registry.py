@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.llm import oracles
-from sitefold.llm.common import table
+from sitefold.llm.common import deleted, shared_folder, table
 from sitefold.llm.quality import MAX_DUP_LINE_SHARE, MAX_SYMBOL_SHARE, MIN_DUP_LINES, SEVERE, SPREAD
 
 
@@ -32,8 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitefold.llm.tokens import pack, scan
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    blocks = pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, separator=50256)
-    return scan(blocks, separator=50256).select("doc_id", "n_tokens")
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    blocks = pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, separator=50256, folder=folder)
+    counts = scan(blocks, separator=50256).select("doc_id", "n_tokens")
+    deleted(spark, folder)
+    return counts
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

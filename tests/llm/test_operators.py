@@ -93,6 +93,43 @@ def test_token_counts(docs, empty, monkeypatch, spark, tmp_path):
         assert [(r.n_tokens, r.ended) for r in found] == [(n, True) for n in lengths] + [(3, False)]
 
 
+def test_flat_files_by_ranges(spark, tmp_path):
+    """Files cut at odd blocks, ended by a separator at a block's edge, without any, of separators only, with a last odd byte."""
+    rng, eod = random.Random(21), 50256
+    flats = {"edge": [1, 2, 3, eod, 4, 5, 6, eod], "none": list(range(23)), "only": [eod] * 9, "odd": [7, eod, 8], "empty": []}
+    flats["long"] = [eod if rng.random() < 0.01 else rng.randrange(50000) for _ in range(5000)]
+    for name, flat in flats.items():
+        (tmp_path / f"{name}.bin").write_bytes(np.array(flat, "<u2").tobytes() + (b"x" if name == "odd" else b""))
+    want = []
+    for name, flat in flats.items():
+        cuts = [-1, *[i for i, x in enumerate(flat) if x == eod]]
+        ended = [b - a - 1 for a, b in zip(cuts, cuts[1:])]
+        want += [(name, i, n, True) for i, n in enumerate(ended)]
+        if len(flat) - 1 > cuts[-1]:
+            want.append((name, len(ended), len(flat) - 1 - cuts[-1], False))
+    for size in (4, 7, 1 << 19):
+        blocks = tokens.token_blocks(spark, str(tmp_path), size)
+        assert blocks.columns == ["file", "block", "start", "bytes"] and blocks.agg(F.max("bytes")).first()[0] <= 2 * size
+        found = tokens.scan(blocks, eod).withColumn("file", F.regexp_extract("file", r"(\w+)\.bin$", 1))
+        assert rows(found, "file", "ordinal", "n_tokens", "ended") == sorted(want, key=repr)
+
+
+def test_flat_files_outlive_their_scan(docs, spark, tmp_path):
+    """The packed files hold every document's tokens; what was scanned does not need them any more."""
+    path, eod = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
+    code = tokens.encoding(open(path, "rb").read(), public_tokenizers.PATTERN)
+    packed = tokens.pack(docs, path, public_tokenizers.PATTERN, eod, folder=str(tmp_path / "flat"))
+    flat = np.concatenate([np.fromfile(f, "<u2") for f in (tmp_path / "flat").iterdir()])
+    kept = sorted(tuple(x[:-1]) for x in np.split(flat, np.flatnonzero(flat == eod) + 1)[:-1])
+    assert kept == sorted(tuple(code.encode_ordinary(t or "")) for _, t in DOCS)
+    found = tokens.scan(packed, eod)
+    for f in (tmp_path / "flat").iterdir():
+        f.unlink()
+    assert found.count() == len(DOCS)
+    with pytest.raises(ValueError, match="16 bits"):
+        tokens.pack(docs, path, public_tokenizers.PATTERN, 1 << 16)
+
+
 def repeats(df):
     out = spans.remove_repeats(df)
     names = ["doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)]
