@@ -25,12 +25,23 @@ from sitefold.llm.templates import drop_templates
 
 #: Lists of ids are broadcast up to so many rows.
 BROADCAST_IDS = 500_000
+#: Bytes of the Arrow batches that the stages exchange with Python; all stages share the executors' memory with what earlier ones left there.
+BATCH_BYTES = 2 << 20
 #: Similarity in percent from which two documents are copies.
 SIMILAR = 80
 
 
+def _lean(spark: SparkSession) -> None:
+    """Bounds the Arrow batches to BATCH_BYTES; the operators keep a bound that is below their own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(name)).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with a language between two codewords, go."""
+    _lean(spark)
     return identify(docs).filter(~F.col("ambiguous")).select("row.*")
 
 
@@ -53,6 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so other texts under the same id or without one are not touched; of rows that repeat both one
     stays.  Texts without a word are no copies of anything and stay, repeated or not.
     """
+    _lean(spark)
     found = durable(near_duplicates(docs, percent=SIMILAR, by_row=True))
     extra = durable(found.filter("extra").select("doc_id", "key").distinct())
     twins = durable(found.filter("worded and not extra").groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key"))
@@ -69,6 +81,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text."""
+    _lean(spark)
     out = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "decoded")
 
