@@ -12,6 +12,9 @@ from sitefold.schema import CORE, five_prime, packed, require, width
 #: Group of tables without a grouping column.
 ONE_GROUP = "group1"
 
+#: Up to so many cells of all groups their shares are broadcast.
+FEW_CELLS = 200_000
+
 
 def _base(sites: DataFrame, grouping: str | None, replicates: str | None) -> DataFrame:
     require(sites, *CORE, *[c for c in (grouping, replicates) if c])
@@ -55,27 +58,37 @@ def estimated_lengths(
     site and phi their shares by length, and replicate if there are several.  Rounds end once no theta changes by more than
     ``tolerance`` of itself, or after ``rounds`` (0 as tolerance: exactly that many).
     """
-    pairs = _base(sites, grouping, replicates).distinct().withColumn("cell", F.concat_ws("|", "width", "replicate"))
-    now = pairs.select("posid", "group", "cell")
-    now = now.withColumn("theta", F.count("*").over(Window.partitionBy("group", "posid")).cast("double"))
-    seen = pairs.groupBy("group", "cell").agg(F.count("*").alias("k"))
-    total = pairs.groupBy("group").agg(F.count("*").alias("all"))
-    shares = seen.join(total, "group").select("group", "cell", (F.col("k") / F.col("all")).alias("phi"))
-    now = durable(now.join(shares, ["group", "cell"]).select("posid", "group", "cell", "theta", "phi"))
+    pairs = _base(sites, grouping, replicates).select("posid", "group", F.concat_ws("|", "width", "replicate").alias("cell"))
+    # positions of a group with the same cells have the same theta in every round: the rounds run over the distinct sets of cells
+    places = durable(pairs.groupBy("posid", "group").agg(F.array_sort(F.collect_set("cell")).alias("cells")))
+    sets = places.groupBy("group", "cells").agg(F.count("*").alias("n"))
+    sets = durable(sets.withColumn("id", F.monotonically_increasing_id()))
+    now = sets.select("id", "group", "n", F.size("cells").cast("double").alias("theta"), F.explode("cells").alias("cell"))
+    seen = now.groupBy("group", "cell").agg(F.sum("n").alias("s"))
+    few = seen.count() <= FEW_CELLS
+    now = durable(_with_shares(now, seen, few))
     mean = F.col("theta") * F.col("phi")
     for _ in range(rounds):
-        x = now.select("posid", "group", "cell", "theta", (mean / (1 - F.exp(-mean))).alias("x"))
-        by_site = x.groupBy("posid", "group").agg(F.sum("x").alias("next"))
-        by_cell = x.groupBy("group", "cell").agg(F.sum("x").alias("s"))
-        by_group = by_cell.groupBy("group").agg(F.sum("s").alias("all"))
-        phi = by_cell.join(by_group, "group").select("group", "cell", (F.col("s") / F.col("all")).alias("phi"))
-        moved = x.select("posid", "group", "cell", "theta").join(by_site, ["posid", "group"]).join(phi, ["group", "cell"])
+        x = now.select("id", "group", "cell", "n", "theta", (mean / (1 - F.exp(-mean))).alias("x"))
+        by_set = x.groupBy("id").agg(F.sum("x").alias("next"))
+        by_cell = x.groupBy("group", "cell").agg(F.sum(F.col("n") * F.col("x")).alias("s"))
+        moved = x.join(by_set, "id").select("id", "group", "cell", "n", F.col("theta").alias("before"), F.col("next").alias("theta"))
         # a round uses its predecessor several times, so each one is kept
-        moved = durable(moved.select("posid", "group", "cell", F.col("theta").alias("before"), F.col("next").alias("theta"), "phi"))
+        moved = durable(_with_shares(moved, by_cell, few))
         now = moved.drop("before")
         if tolerance and (moved.agg(F.max(F.abs(F.col("theta") / F.col("before") - 1))).first()[0] or 0.0) <= tolerance:
             break
-    return now.groupBy("posid", "group").agg(F.max("theta").alias("estAbund"))
+    found = sets.join(now.groupBy("id").agg(F.max("theta").alias("estAbund")), "id").select(F.col("group").alias("g"), F.col("cells").alias("c"), "estAbund")
+    same = F.col("group").eqNullSafe(F.col("g")) & (F.col("cells") == F.col("c"))
+    return places.join(found, same).select("posid", "group", "estAbund")
+
+
+def _with_shares(rows: DataFrame, sums: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with phi, their cell's share of its group's sum."""
+    total = sums.groupBy("group").agg(F.sum("s").alias("all")).select(F.col("group").alias("g"), "all")
+    same = F.col("group").eqNullSafe(F.col("g"))
+    shares = sums.join(total, same).select(F.col("group").alias("g"), F.col("cell").alias("c"), (F.col("s") / F.col("all")).alias("phi"))
+    return rows.join(F.broadcast(shares) if few else shares, same & (F.col("cell") == F.col("c"))).drop("g", "c")
 
 
 METHODS = {"fragLen": fragment_lengths, "estAbund": estimated_lengths}
