@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.operators.islands import chains
-from sitefold.schema import CORE, five_prime, packed, require, stranded, three_prime
+from sitefold.schema import CORE, five_prime, packed, require, stranded, tasks_for, three_prime
 
 FORWARD, BACK, NONE = 1, -1, 0
 KEYS = ["seqnames", "strand", "chain"]
@@ -40,9 +40,12 @@ def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int) -> D
     count = F.coalesce(F.col(counts_col), F.lit(0)) if counts_col else F.lit(1)
     found = sites.select("seqnames", stranded().alias("strand"), pos.cast("bigint").alias("pos"), count.alias("c"))
     # rows without a sequence or position make no point
-    found = found.filter(F.col("seqnames").isNotNull() & F.col("pos").isNotNull()).groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
-    cut = chains(found, ["seqnames", "strand"], "pos", gap, "chain")
-    return cut.repartition(*KEYS)
+    found = found.filter(F.col("seqnames").isNotNull() & F.col("pos").isNotNull())
+    # every phase sorts what its task holds, so there are as many tasks as the rows ask for, not as few as a small shuffle is merged into
+    tasks = tasks_for(found)
+    found = found.groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
+    cut = chains(found, ["seqnames", "strand"], "pos", gap, "chain", tasks)
+    return cut.repartition(tasks, *KEYS)
 
 
 def initial_links(df: DataFrame, min_gap: int, bias: str) -> DataFrame:
@@ -137,6 +140,8 @@ def _written(sites: DataFrame, calls: DataFrame, pos: Column, moves_start: str,
     """Every row, moved to its call; a row without a sequence or position has none and stays as it is."""
     calls = calls.select(F.col("seqnames").alias("on"), F.col("strand").alias("side"), F.col("pos").alias("called_pos"), F.col("adj").alias("adj_pos"))
     rows = packed(sites, seqnames=F.col("seqnames"), strand=F.col("strand"), pos=pos.cast("bigint"))
+    tasks = tasks_for(rows)
+    rows, calls = rows.repartition(tasks, "seqnames", "strand", "pos"), calls.repartition(tasks, "on", "side", "called_pos")
     own = (F.col("seqnames") == F.col("on")) & (F.col("strand") == F.col("side")) & (F.col("pos") == F.col("called_pos"))
     out = rows.join(calls, own, "left")
     kind = dict(sites.dtypes)
