@@ -2,71 +2,85 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefold.operators.islands import chains
-from sitefold.schema import CORE, five_prime, packed, require, stranded, three_prime
+from sitefold.operators.islands import BIN, chains
+from sitefold.schema import CORE, five_prime, packed, require, stranded, tasks_for, three_prime
 
 KEYS = ["grouping", "posID"]
 
 
-def value_counts(df: DataFrame, pos_id: str, value: str, grouping: str | None, weight: str | None) -> DataFrame:
-    """grouping, posID, value and the summed weights (rows without a weight count 1)."""
+def value_counts(df: DataFrame, pos_id: str, value: str, grouping: str | None, weight: str | None, top: str | None = None) -> DataFrame:
+    """grouping, posID, value and the summed weights (rows without a weight count 1); ``top`` adds the greatest value of that column."""
     rows = df.select(
         (F.col(grouping).cast("string") if grouping else F.lit("")).alias("grouping"),
         F.col(pos_id).cast("string").alias("posID"),
         F.col(value).cast("bigint").alias("value"),
         (F.col(weight) if weight else F.lit(1)).alias("w"),
+        *([F.col(top).alias("top")] if top else []),
     )
-    return rows.groupBy(*KEYS, "value").agg(F.sum("w").alias("freq"))
+    return rows.groupBy(*KEYS, "value").agg(F.sum("w").alias("freq"), *([F.max("top").alias("top")] if top else []))
+
+
+def _haloed(counts: DataFrame, halo: int, tasks: int) -> DataFrame:
+    """The values by bins in ``tasks`` partitions, with copies (``_own`` false) in the bins they lie within ``halo`` of: windows of a bin see all of its neighbours."""
+    size = max(BIN, 4 * halo)
+    bin_ = lambda v: F.floor(v / size).cast("bigint")
+    ends = F.array_distinct(F.array(bin_(F.col("value") - halo), bin_(F.col("value")), bin_(F.col("value") + halo)))
+    return counts.withColumn("_b", F.explode(ends)).withColumn("_own", F.col("_b") == bin_(F.col("value"))).repartition(tasks, *KEYS, "_b")
 
 
-def _near(a: DataFrame, b: DataFrame, window: int) -> DataFrame:
-    """Pairs of a and b at most ``window`` apart: an equi-join on bins wider than the window, b being in its bin and both neighbours."""
-    size = max(64, 4 * window)
-    left = a.withColumn("_b", F.floor(F.col("value") / size))
-    right = b.select(*KEYS, F.col("value").alias("s_value"), F.col("freq").alias("s_freq"))
-    right = right.withColumn("_b", F.explode(F.array_distinct(F.sequence(F.floor((F.col("s_value") - window) / size), F.floor((F.col("s_value") + window) / size)))))
-    return left.join(right, [*KEYS, "_b"]).filter(F.abs(F.col("value") - F.col("s_value")) <= window).drop("_b")
+def _within(low: int, high: int) -> Window:
+    return Window.partitionBy(*KEYS, "_b").orderBy("value").rangeBetween(low, high)
 
 
-def _snapped(counts: DataFrame, window: int) -> DataFrame:
-    """One step: of the pairs of a value with the greatest weight on either side, the least winner; alone it stays."""
-    pairs = _near(counts, counts, window).filter("value <> s_value")
-    tie = F.least("value", "s_value")
-    winner = F.when(F.col("freq") == F.col("s_freq"), tie).when(F.col("freq") > F.col("s_freq"), F.col("value")).otherwise(F.col("s_value"))
-    best = pairs.groupBy(*KEYS, "value").agg(F.max(F.struct(F.greatest("freq", "s_freq").alias("m"), (-winner).alias("w"))).alias("top"))
-    out = counts.join(best, [*KEYS, "value"], "left")
-    return out.select(*KEYS, "value", "freq", F.coalesce(-F.col("top.w"), F.col("value")).alias("clusteredValue"))
+def _snapped(counts: DataFrame, window: int, tasks: int) -> DataFrame:
+    """One step: a value moves to the heaviest one within the window, itself included, and to the least of equals."""
+    best = F.max(F.struct("freq", (-F.col("value")).alias("v"))).over(_within(-window, window))
+    return _haloed(counts, window, tasks).withColumn("clusteredValue", -best["v"]).filter("_own").drop("_b", "_own")
 
 
-def _by_quantile(counts: DataFrame, window: int, quantile: float) -> DataFrame:
+def _by_quantile(counts: DataFrame, window: int, quantile: float, tasks: int) -> DataFrame:
     """Values under their posID's quantile of weights join the heaviest (then closest, then last) value above it; the others under it are snapped among themselves."""
     limits = counts.groupBy(*KEYS).agg(F.percentile("freq", F.lit(quantile)).alias("limit"))
-    named = counts.join(limits, KEYS)
-    below = named.filter("freq < limit").select(*KEYS, "value", "freq")
-    above = named.filter("freq >= limit").select(*KEYS, "value", "freq")
-    pairs = _near(below, above, window)
-    order = F.struct(F.col("s_freq"), (-F.abs(F.col("value") - F.col("s_value"))).alias("near"), F.col("s_value"))
-    taken = pairs.groupBy(*KEYS, "value", "freq").agg(F.max(order).alias("top")).select(*KEYS, "value", "freq", F.col("top.s_value").alias("clusteredValue"))
-    lone = below.join(taken, [*KEYS, "value"], "left_anti")
-    parts = [above.withColumn("clusteredValue", F.col("value")), taken, _snapped(lone, window)]
-    return reduce(DataFrame.unionByName, parts)
+    # what the second step sees are values whose own neighbours the first one saw: two windows of halo
+    named = _haloed(counts.join(limits, KEYS), 2 * window, tasks).withColumn("_above", F.col("freq") >= F.col("limit"))
+    above = lambda v: F.max(F.when(F.col("_above"), F.struct("freq", v.alias("v"))))
+    named = named.withColumn("_l", above(F.col("value")).over(_within(-window, -1))).withColumn("_r", above(-F.col("value")).over(_within(1, window)))
+    left, right = F.col("_l.v"), -F.col("_r.v")
+    to_left = F.when(F.col("_l.freq") != F.col("_r.freq"), F.col("_l.freq") > F.col("_r.freq")).otherwise(F.col("value") - left < right - F.col("value"))
+    taken = F.when(left.isNull() | right.isNull(), F.coalesce(left, right)).otherwise(F.when(to_left, left).otherwise(right))
+    named = named.withColumn("_taken", F.when(F.col("_above"), F.col("value")).otherwise(taken))
+    lone = F.max(F.when(F.col("_taken").isNull(), F.struct("freq", (-F.col("value")).alias("v")))).over(_within(-window, window))
+    named = named.withColumn("_lone", -lone["v"]).filter("_own")
+    return named.withColumn("clusteredValue", F.coalesce("_taken", "_lone")).select(*counts.columns, "clusteredValue")
 
 
 def cluster_values(
-    df: DataFrame, pos_id: str, value: str, grouping: str | None = None, weight: str | None = None, window: int = 5, by_quartile: bool = False, quartile: float = 0.70
+    df: DataFrame,
+    pos_id: str,
+    value: str,
+    grouping: str | None = None,
+    weight: str | None = None,
+    window: int = 5,
+    by_quartile: bool = False,
+    quartile: float = 0.70,
+    top: str | None = None,
 ) -> DataFrame:
-    """posID, value, freq, clusteredValue and its freq (and grouping, if given) of every distinct value."""
-    require(df, pos_id, value, *[c for c in (grouping, weight) if c])
-    counts = value_counts(df, pos_id, value, grouping, weight)
-    found = _by_quantile(counts, window, quartile) if by_quartile else _snapped(counts, window)
-    total = found.groupBy(*KEYS, "clusteredValue").agg(F.sum("freq").alias("clusteredValue.freq"))
-    out = found.join(total, [*KEYS, "clusteredValue"])
-    return out.select(*(["grouping"] if grouping else []), "posID", "value", "freq", "clusteredValue", F.col("`clusteredValue.freq`"))
+    """posID, value, freq, clusteredValue and its freq (and grouping, if given) of every distinct value; ``top`` adds ``best``, that column's greatest value in the cluster."""
+    require(df, pos_id, value, *[c for c in (grouping, weight, top) if c])
+    counts = value_counts(df, pos_id, value, grouping, weight, top)
+    # rows without a group, a position's id or a value belong to no cluster
+    counts = counts.filter(F.col("grouping").isNotNull() & F.col("posID").isNotNull() & F.col("value").isNotNull())
+    tasks = tasks_for(df)
+    found = _by_quantile(counts, window, quartile, tasks) if by_quartile else _snapped(counts, window, tasks)
+    # a cluster has at most the values within the window of its own
+    cluster = Window.partitionBy(*KEYS, "clusteredValue")
+    out = found.repartition(tasks, *KEYS, "clusteredValue").withColumn("clusteredValue.freq", F.sum("freq").over(cluster))
+    if top:
+        out = out.withColumn("best", F.max("top").over(cluster))
+    return out.select(*(["grouping"] if grouping else []), "posID", "value", "freq", "clusteredValue", F.col("`clusteredValue.freq`"), *(["best"] if top else []))
 
 
 def cluster_sites(
@@ -90,14 +104,10 @@ def cluster_sites(
         top=F.col(score) if score else F.lit(1),
         multi=F.coalesce(F.col(multihit), F.lit(False)) if multihit in sites.columns else F.lit(False),
     )
-    found = cluster_values(named.filter("not multi"), "p", "v", "g", "w", window).select(
-        F.col("grouping").alias("fg"), F.col("posID").alias("fp"), F.col("value").alias("fv"), F.col("clusteredValue").alias("clusteredPosition"), F.col("`clusteredValue.freq`").alias("clonecount")
+    found = cluster_values(named.filter("not multi"), "p", "v", "g", "w", window, top="top").select(
+        F.col("grouping").alias("fg"), F.col("posID").alias("fp"), F.col("value").alias("fv"), F.col("clusteredValue").alias("clusteredPosition"), F.col("`clusteredValue.freq`").alias("clonecount"), "best"
     )
-    best = named.filter("not multi").join(found, _same_value()).groupBy("g", "p", "clusteredPosition").agg(F.max("top").alias("best"))
-    best = best.select(F.col("g").alias("bg"), F.col("p").alias("bp"), F.col("clusteredPosition").alias("bc"), "best")
     out = named.join(found, ~F.col("multi") & _same_value(), "left")
-    held = F.col("g").eqNullSafe(F.col("bg")) & (F.col("p") == F.col("bp")) & (F.col("clusteredPosition") == F.col("bc"))
-    out = out.join(best, held, "left")
     return out.select("row.*", "clusteredPosition", "clonecount", F.coalesce(F.col("top") == F.col("best"), F.lit(False)).alias("clusterTopHit"))
 
 
