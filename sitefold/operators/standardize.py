@@ -4,7 +4,8 @@ Observed points are linked to a neighbour point by point: the heavier one draws
 is one link per point to its next point, FORWARD (from the lower position to the higher), BACK or
 none, so each phase is a window over the points of a chromosome's strand.  No link spans more
 than the widest gap, so points are first cut into chains of that gap, and all windows are
-partitioned by chain: they share one shuffle and no task holds a chromosome.
+partitioned by chain: they share one shuffle and no task holds a chromosome.  Where points lie within the gap
+over whole bins, a chain is cut again wherever no phase looks across (``safe_starts``).
 
 For ``min_gap`` above 1 links join consecutive points only, and satellites start at ``min_gap`` + 1; below
 2, ``sata_gap`` has no satellite pass.
@@ -15,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefold.operators.islands import chains
+from sitefold.checkpoints import durable
+from sitefold.operators.islands import bin_of, binned, chains
 from sitefold.schema import CORE, five_prime, packed, require, stranded, tasks_for, three_prime
 
 FORWARD, BACK, NONE = 1, -1, 0
 KEYS = ["seqnames", "strand", "chain"]
 
+#: Positions of its neighbours that a bin of a long chain sees on each side.
+HALO = 1 << 11
+
 
 def _order() -> Window:
     return Window.partitionBy(*KEYS).orderBy("pos")
@@ -34,8 +39,8 @@ def _previous(name: str) -> Column:
     return F.coalesce(F.lag(name).over(_order()), F.lit(NONE))
 
 
-def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int) -> DataFrame:
-    """Distinct points with their summed counts and their chain."""
+def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int, min_gap: int = 1, sata_gap: int | None = None, bias: str = "upstream") -> DataFrame:
+    """Distinct points with their summed counts and their chain, for phases with these gaps (``sata_gap``: ``gap`` if not given) and bias."""
     require(sites, *CORE, *([counts_col] if counts_col else []))
     count = F.coalesce(F.col(counts_col), F.lit(0)) if counts_col else F.lit(1)
     found = sites.select("seqnames", stranded().alias("strand"), pos.cast("bigint").alias("pos"), count.alias("c"))
@@ -44,10 +49,54 @@ def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int) -> D
     # every phase sorts what its task holds, so there are as many tasks as the rows ask for, not as few as a small shuffle is merged into
     tasks = tasks_for(found)
     found = found.groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
-    cut = chains(found, ["seqnames", "strand"], "pos", gap, "chain", tasks)
+    on = ["seqnames", "strand"]
+    df, heads = binned(found, on, "pos", gap, tasks)
+    # one row a bin, kept: it tells whether there are long chains
+    heads = durable(heads)
+    df = df.join(heads, [*on, "_bin"]).withColumn("chain", F.coalesce("_own", "_head"))
+    cut = df.select(*found.columns, "chain")
+    if not heads.filter(F.size("_long") > 0).isEmpty():
+        long = F.array_contains("_long", F.col("chain"))
+        starts = durable(safe_starts(df.filter(long).select(*found.columns), tasks, min_gap, gap if sata_gap is None else sata_gap, bias))
+        parts = chains(starts, on, "pos", gap, "chain", tasks, "fresh").drop("fresh")
+        cut = df.filter(~long).select(*found.columns, "chain").unionByName(parts)
     return cut.repartition(tasks, *KEYS)
 
 
+def _known(df: DataFrame) -> DataFrame:
+    """Narrows the links that hold whatever lies outside of the rows, _lo to _hi, to those beyond the first and last known point without a link."""
+    rows, bare = Window.partitionBy(*KEYS), F.col("link") == NONE
+    first, last = F.when(bare & (F.col("pos") >= F.col("_lo")), F.col("pos")), F.when(bare & (F.col("pos") <= F.col("_hi")), F.col("pos"))
+    return df.withColumns({"_lo": F.min(first).over(rows) + 1, "_hi": F.max(last).over(rows) - 1})
+
+
+def safe_starts(df: DataFrame, tasks: int, min_gap: int, sata_gap: int, bias: str) -> DataFrame:
+    """``fresh``: whether the phases come out the same if the point and those before it are taken apart.
+
+    That is so if no pass links them and their islands' sources are too far apart to be joined.  It is worked out by bins with a halo;
+    a link of the first passes holds for certain, one of a later pass only between islands that are known from end to end.
+    """
+    tiles = F.explode(F.sequence(bin_of(F.col("pos") - HALO), bin_of(F.col("pos") + HALO)))
+    df = df.withColumn("chain", tiles).repartition(tasks, *KEYS)
+    rows = Window.partitionBy(*KEYS)
+    df = initial_links(df.withColumns({"_lo": F.min("pos").over(rows), "_hi": F.max("pos").over(rows) - 1}), min_gap, bias)
+    for gap in _satellite_gaps(min_gap, sata_gap):
+        df = connect_satellites(_known(df), gap)
+    # what is right of a known point without a link does not depend on what is left of it, cuts included
+    df = _known(df).withColumn("_apart", _previous("link") == NONE)
+    df = mark_sources_and_sinks(with_islands(break_paths(df, bias)))
+    df = df.withColumn("_source", F.max(F.when(F.col("is_source"), F.col("pos"))).over(Window.partitionBy(*KEYS, "island")))
+    order = _order()
+    known = (F.lag("pos").over(order) >= F.col("_lo")) & (F.col("pos") <= F.col("_hi") + 1)
+    fresh = known & F.col("_apart") & (F.col("_source") - F.lag("_source").over(order) > sata_gap)
+    df = df.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
+    return df.filter(F.col("chain") == bin_of(F.col("pos"))).select("seqnames", "strand", "pos", "abund", "fresh")
+
+
+def _satellite_gaps(min_gap: int, sata_gap: int) -> range:
+    return range(max(2, min_gap + 1), sata_gap + 1)
+
+
 def initial_links(df: DataFrame, min_gap: int, bias: str) -> DataFrame:
     """Links of consecutive points at most ``min_gap`` apart: from the heavier one; if equal from the upstream one, or downstream one."""
     order = _order()
@@ -118,20 +167,20 @@ def resolve_sources(df: DataFrame) -> DataFrame:
 def linked(df: DataFrame, min_gap: int, sata_gap: int, bias: str) -> DataFrame:
     """Links after the satellite passes and the cuts, with islands, sources and sinks."""
     df = initial_links(df, min_gap, bias)
-    for gap in range(max(2, min_gap + 1), sata_gap + 1):
+    for gap in _satellite_gaps(min_gap, sata_gap):
         df = connect_satellites(df, gap)
     return mark_sources_and_sinks(with_islands(break_paths(df, bias)))
 
 
 def called_sites(sites: DataFrame, counts_col: str | None = None, min_gap: int = 1, sata_gap: int = 5) -> DataFrame:
     """seqnames, strand, pos and adj of every observed 5' position."""
-    found = linked(points(sites, five_prime(), counts_col, max(min_gap, sata_gap)), min_gap, sata_gap, "upstream")
+    found = linked(points(sites, five_prime(), counts_col, max(min_gap, sata_gap), min_gap, sata_gap, "upstream"), min_gap, sata_gap, "upstream")
     return resolve_sources(connect_sources(found, sata_gap)).select("seqnames", "strand", "pos", "adj")
 
 
 def called_breaks(sites: DataFrame, counts_col: str | None = None, min_gap: int = 1, sata_gap: int = 3) -> DataFrame:
     """seqnames, strand, pos and adj of every observed 3' position."""
-    found = linked(points(sites, three_prime(), counts_col, max(min_gap, sata_gap)), min_gap, sata_gap, "downstream")
+    found = linked(points(sites, three_prime(), counts_col, max(min_gap, sata_gap), min_gap, sata_gap, "downstream"), min_gap, sata_gap, "downstream")
     source = F.max(F.when(F.col("is_source"), F.col("pos"))).over(Window.partitionBy(*KEYS, "island"))
     return found.withColumn("adj", source).select("seqnames", "strand", "pos", "adj")
 
