@@ -23,9 +23,10 @@ def binned(points: DataFrame, keys: list[str], pos: str, gap: int, tasks: int |
     """The points with their bin and the chain's start within it, and one row a bin with what runs into it.
 
     A chain also starts where the column ``start`` is true, if given.  A chain is long if a bin of it has no chain's start;
-    ``_long`` holds the (at most two) long chains of a bin.  Bins are windowed in ``tasks`` partitions, if given.
+    ``_long`` holds the (at most two) long chains of a bin.  Bins are windowed in ``tasks`` partitions, if given; points that
+    have their ``_bin`` already are taken as they are dealt.
     """
-    df = points.withColumn("_bin", bin_of(F.col(pos)))
+    df = points if "_bin" in points.columns else points.withColumn("_bin", bin_of(F.col(pos)))
     if tasks:
         df = df.repartition(tasks, *keys, "_bin")
     order = Window.partitionBy(*keys, "_bin").orderBy(pos)

@@ -21,22 +21,25 @@ from sitefold.operators.islands import bin_of, binned, chains
 from sitefold.schema import CORE, five_prime, packed, require, stranded, tasks_for, three_prime
 
 FORWARD, BACK, NONE = 1, -1, 0
-KEYS = ["seqnames", "strand", "chain"]
+#: The chain comes first, as it tells most rows apart when windows are sorted.
+KEYS = ["chain", "seqnames", "strand"]
 
 #: Positions of its neighbours that a bin of a long chain sees on each side.
 HALO = 1 << 11
 
 
-def _order() -> Window:
-    return Window.partitionBy(*KEYS).orderBy("pos")
+def _order(df: DataFrame) -> Window:
+    """Points of a chain by position.  Islands are numbered along it: once there, they go first, so that one sort also serves the windows of islands."""
+    return Window.partitionBy(*KEYS).orderBy(*(["island"] if "island" in df.columns else []), "pos")
 
 
-def _upto() -> Window:
-    return _order().rowsBetween(Window.unboundedPreceding, 0)
+def _whole(name: str) -> Window:
+    """All points of an island or group, sorted as ``_order`` sorts them."""
+    return Window.partitionBy(*KEYS, name).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _previous(name: str) -> Column:
-    return F.coalesce(F.lag(name).over(_order()), F.lit(NONE))
+def _previous(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.lag(name).over(_order(df)), F.lit(NONE))
 
 
 def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int, min_gap: int = 1, sata_gap: int | None = None, bias: str = "upstream") -> DataFrame:
@@ -46,20 +49,22 @@ def points(sites: DataFrame, pos: Column, counts_col: str | None, gap: int, min_
     found = sites.select("seqnames", stranded().alias("strand"), pos.cast("bigint").alias("pos"), count.alias("c"))
     # rows without a sequence or position make no point
     found = found.filter(F.col("seqnames").isNotNull() & F.col("pos").isNotNull())
-    # every phase sorts what its task holds, so there are as many tasks as the rows ask for, not as few as a small shuffle is merged into
+    # every phase sorts what its task holds, so there are as many tasks as the rows ask for, not as few as a small shuffle is merged into or as
+    # the session has; rows are dealt by bin before they are summed, which serves the sums and the windows of bins
     tasks = tasks_for(found)
-    found = found.groupBy("seqnames", "strand", "pos").agg(F.sum("c").alias("abund"))
-    on = ["seqnames", "strand"]
-    df, heads = binned(found, on, "pos", gap, tasks)
+    on, columns = ["seqnames", "strand"], ["seqnames", "strand", "pos", "abund"]
+    found = found.withColumn("_bin", bin_of(F.col("pos"))).repartition(tasks, "_bin", *on)
+    found = found.groupBy("_bin", *on, "pos").agg(F.sum("c").alias("abund"))
+    df, heads = binned(found, on, "pos", gap)
     # one row a bin, kept: it tells whether there are long chains
     heads = durable(heads)
     df = df.join(heads, [*on, "_bin"]).withColumn("chain", F.coalesce("_own", "_head"))
-    cut = df.select(*found.columns, "chain")
+    cut = df.select(*columns, "chain")
     if not heads.filter(F.size("_long") > 0).isEmpty():
         long = F.array_contains("_long", F.col("chain"))
-        starts = durable(safe_starts(df.filter(long).select(*found.columns), tasks, min_gap, gap if sata_gap is None else sata_gap, bias))
+        starts = durable(safe_starts(df.filter(long).select(*columns), tasks, min_gap, gap if sata_gap is None else sata_gap, bias))
         parts = chains(starts, on, "pos", gap, "chain", tasks, "fresh").drop("fresh")
-        cut = df.filter(~long).select(*found.columns, "chain").unionByName(parts)
+        cut = df.filter(~long).select(*columns, "chain").unionByName(parts)
     return cut.repartition(tasks, *KEYS)
 
 
@@ -83,10 +88,11 @@ def safe_starts(df: DataFrame, tasks: int, min_gap: int, sata_gap: int, bias: st
     for gap in _satellite_gaps(min_gap, sata_gap):
         df = connect_satellites(_known(df), gap)
     # what is right of a known point without a link does not depend on what is left of it, cuts included
-    df = _known(df).withColumn("_apart", _previous("link") == NONE)
+    df = _known(df)
+    df = df.withColumn("_apart", _previous(df, "link") == NONE)
     df = mark_sources_and_sinks(with_islands(break_paths(df, bias)))
-    df = df.withColumn("_source", F.max(F.when(F.col("is_source"), F.col("pos"))).over(Window.partitionBy(*KEYS, "island")))
-    order = _order()
+    df = df.withColumn("_source", F.max(F.when(F.col("is_source"), F.col("pos"))).over(_whole("island")))
+    order = _order(df)
     known = (F.lag("pos").over(order) >= F.col("_lo")) & (F.col("pos") <= F.col("_hi") + 1)
     fresh = known & F.col("_apart") & (F.col("_source") - F.lag("_source").over(order) > sata_gap)
     df = df.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
@@ -99,7 +105,7 @@ def _satellite_gaps(min_gap: int, sata_gap: int) -> range:
 
 def initial_links(df: DataFrame, min_gap: int, bias: str) -> DataFrame:
     """Links of consecutive points at most ``min_gap`` apart: from the heavier one; if equal from the upstream one, or downstream one."""
-    order = _order()
+    order = _order(df)
     near = F.lead("pos").over(order) - F.col("pos") <= min_gap
     other = F.lead("abund").over(order)
     up = F.when(F.col("strand") == "-", BACK).otherwise(FORWARD)
@@ -109,14 +115,18 @@ def initial_links(df: DataFrame, min_gap: int, bias: str) -> DataFrame:
 
 def with_islands(df: DataFrame, name: str = "island") -> DataFrame:
     """Numbers the runs of linked points within a chain."""
-    return df.withColumn("_new", (_previous("link") == NONE).cast("int")).withColumn(name, F.sum("_new").over(_upto())).drop("_new")
+    upto = _order(df).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_new", (_previous(df, "link") == NONE).cast("int")).withColumn(name, F.sum("_new").over(upto)).drop("_new")
 
 
 def connect_satellites(df: DataFrame, gap: int) -> DataFrame:
-    """Links neighbouring islands at most ``gap`` apart from the one with the larger sum, if its least abundance is not the smaller one."""
-    own = Window.partitionBy(*KEYS, "island")
+    """Links neighbouring islands at most ``gap`` apart from the one with the larger sum, if its least abundance is not the smaller one.
+
+    ``island`` stays, as it was before the links, for the order of the next phase.
+    """
+    own = _whole("island")
     df = with_islands(df).withColumns({"_min": F.min("abund").over(own).cast("bigint"), "_sum": F.sum("abund").over(own)})
-    order = _order()
+    order = _order(df)
     df = df.withColumns({"_gap": F.lead("pos").over(order) - F.col("pos"), "_nmin": F.lead("_min").over(order), "_nsum": F.lead("_sum").over(order)})
     link = (
         F.when((F.col("_min") >= F.col("_nmin")) & (F.col("_sum") > F.col("_nsum")), FORWARD)
@@ -124,18 +134,18 @@ def connect_satellites(df: DataFrame, gap: int) -> DataFrame:
         .otherwise(NONE)
     )
     open_ = (F.col("link") == NONE) & (F.col("_gap") <= gap)
-    return df.withColumn("link", F.when(open_, link).otherwise(F.col("link"))).drop("_min", "_sum", "_gap", "_nmin", "_nsum", "island")
+    return df.withColumn("link", F.when(open_, link).otherwise(F.col("link"))).drop("_min", "_sum", "_gap", "_nmin", "_nsum")
 
 
 def break_paths(df: DataFrame, bias: str) -> DataFrame:
     """Cuts one link at each point that is drawn from both sides: the longer one, then the one to the lighter neighbour, then by bias."""
-    order = _order()
+    order = _order(df)
     left, right = F.col("pos") - F.lag("pos").over(order), F.lead("pos").over(order) - F.col("pos")
     light, heavy = F.lag("abund").over(order), F.lead("abund").over(order)
     upstream_left = F.col("strand") != "-"
     tie_left = upstream_left if bias == "upstream" else ~upstream_left
     cut_left = F.when(left != right, left > right).when(light != heavy, light < heavy).otherwise(tie_left)
-    both = (_previous("link") == FORWARD) & (F.col("link") == BACK)
+    both = (_previous(df, "link") == FORWARD) & (F.col("link") == BACK)
     df = df.withColumn("_cut", F.when(both, F.when(cut_left, "left").otherwise("right")))
     gone = (F.col("_cut") == "right") | (F.lead("_cut").over(order) == "left")
     return df.withColumn("link", F.when(F.coalesce(gone, F.lit(False)), NONE).otherwise(F.col("link"))).drop("_cut")
@@ -143,18 +153,19 @@ def break_paths(df: DataFrame, bias: str) -> DataFrame:
 
 def mark_sources_and_sinks(df: DataFrame) -> DataFrame:
     """A source has no link into it, a sink none out of it; a lone point is both."""
-    before = _previous("link")
+    before = _previous(df, "link")
     return df.withColumns({"is_source": (before != FORWARD) & (F.col("link") != BACK), "is_sink": (before != BACK) & (F.col("link") != FORWARD)})
 
 
 def connect_sources(df: DataFrame, gap: int) -> DataFrame:
     """Numbers the chains of sources at most ``gap`` apart as ``group``, for every point of the sources' islands."""
-    earlier = _order().rowsBetween(Window.unboundedPreceding, -1)
+    order = _order(df)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     source = F.when(F.col("is_source"), F.col("pos"))
     df = df.withColumn("_last", F.last(source, ignorenulls=True).over(earlier))
     df = df.withColumn("_new", (F.col("is_source") & F.coalesce(F.col("pos") - F.col("_last") > gap, F.lit(True))).cast("int"))
-    df = df.withColumn("_group", F.when(F.col("is_source"), F.sum("_new").over(_upto())))
-    return df.withColumn("group", F.max("_group").over(Window.partitionBy(*KEYS, "island"))).drop("_last", "_new", "_group")
+    df = df.withColumn("_group", F.when(F.col("is_source"), F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    return df.withColumn("group", F.max("_group").over(_whole("island"))).drop("_last", "_new", "_group")
 
 
 def resolve_sources(df: DataFrame) -> DataFrame:
@@ -181,7 +192,7 @@ def called_sites(sites: DataFrame, counts_col: str | None = None, min_gap: int =
 def called_breaks(sites: DataFrame, counts_col: str | None = None, min_gap: int = 1, sata_gap: int = 3) -> DataFrame:
     """seqnames, strand, pos and adj of every observed 3' position."""
     found = linked(points(sites, three_prime(), counts_col, max(min_gap, sata_gap), min_gap, sata_gap, "downstream"), min_gap, sata_gap, "downstream")
-    source = F.max(F.when(F.col("is_source"), F.col("pos"))).over(Window.partitionBy(*KEYS, "island"))
+    source = F.max(F.when(F.col("is_source"), F.col("pos"))).over(_whole("island"))
     return found.withColumn("adj", source).select("seqnames", "strand", "pos", "adj")
 
 
@@ -190,8 +201,8 @@ def _written(sites: DataFrame, calls: DataFrame, pos: Column, moves_start: str,
     calls = calls.select(F.col("seqnames").alias("on"), F.col("strand").alias("side"), F.col("pos").alias("called_pos"), F.col("adj").alias("adj_pos"))
     rows = packed(sites, seqnames=F.col("seqnames"), strand=F.col("strand"), pos=pos.cast("bigint"))
     tasks = tasks_for(rows)
-    rows, calls = rows.repartition(tasks, "seqnames", "strand", "pos"), calls.repartition(tasks, "on", "side", "called_pos")
-    own = (F.col("seqnames") == F.col("on")) & (F.col("strand") == F.col("side")) & (F.col("pos") == F.col("called_pos"))
+    rows, calls = rows.repartition(tasks, "pos", "seqnames", "strand"), calls.repartition(tasks, "called_pos", "on", "side")
+    own = (F.col("pos") == F.col("called_pos")) & (F.col("seqnames") == F.col("on")) & (F.col("strand") == F.col("side"))
     out = rows.join(calls, own, "left")
     kind = dict(sites.dtypes)
     at = lambda name, moves: F.when(moves & F.col("adj_pos").isNotNull(), F.col("adj_pos")).otherwise(F.col("row")[name]).cast(kind[name])

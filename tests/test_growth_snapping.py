@@ -1,5 +1,7 @@
 """What a task holds, and how often a table is read, must not grow with the rows: consensus positions."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,3 +47,23 @@ def test_no_task_holds_a_long_chain(spark):
         return found.groupBy("chain").count().agg(F.max("count")).first()[0]
 
     assert longest(60_000) < 1000 and longest(240_000) < 1000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_are_not_left_to_the_sessions_partitions(spark):
+    """A task's table of sums does not grow with the rows: all points are dealt over tasks that follow the rows."""
+    name, side = F.concat(F.lit("chr"), F.col("id") % 3), F.when(F.col("id") % 2 == 0, "+").otherwise("-")
+    rows = spark.range(1_500_000).select(name.alias("seqnames"), (F.col("id") * 9).alias("start"), (F.col("id") * 9 + 40).alias("end"), side.alias("strand"))
+    dealt = re.findall(r"hashpartitioning\(.*, (\d+)\)", plan_of(standardize.called_sites(rows)))
+    assert dealt and min(map(int, dealt)) >= 15
+
+
+def test_one_sort_a_pass(spark):
+    """Each sort holds a page of its task at least; links, four passes and sources, and groups take one each."""
+    rows = spark.createDataFrame([("chr1", p, p + 40, "+", 1 + p % 3) for p in (1, 2, 4, 9, 30)], "seqnames string, start long, end long, strand string, n long")
+    found = standardize.connect_sources(standardize.linked(standardize.points(rows, five_prime(), "n", 5), 1, 5, "upstream"), 5)
+    sorts = lambda df: len(re.findall(r"Sort \[[^\]]*\bchain\b", plan_of(df)))
+    assert sorts(found) <= 6 and sorts(standardize.called_sites(rows, "n")) <= 7
