@@ -67,3 +67,4 @@ def test_one_sort_a_pass(spark):
     found = standardize.connect_sources(standardize.linked(standardize.points(rows, five_prime(), "n", 5), 1, 5, "upstream"), 5)
     sorts = lambda df: len(re.findall(r"Sort \[[^\]]*\bchain\b", plan_of(df)))
     assert sorts(found) <= 6 and sorts(standardize.called_sites(rows, "n")) <= 7
+    assert sorts(standardize.standardize_sites(rows, details=True)) <= 7
